@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import answers, fixed
 from ..functions.text import event_hash
+from .once import evaluate_once
 
 
 def failure_reason(answer: Column, ai_response: Column, error: Column) -> Column:
@@ -46,7 +47,8 @@ def assemble(rows: DataFrame, now: Column) -> DataFrame:
     parsed = rows.withColumn(
         "_answer", F.when(F.col("error").isNull(), answers.extract_json(F.col("ai_response")))
     ).withColumn("_reason", failure_reason(F.col("_answer"), F.col("ai_response"), F.col("error")))
-    return parsed.withColumns(
+    return evaluate_once(
+        parsed,
         {
             "event_hash": event_hash(F.col("raw")),
             "validation_issues": F.when(
@@ -56,5 +58,6 @@ def assemble(rows: DataFrame, now: Column) -> DataFrame:
                 answers.cells(F.col("_answer"))
             ),
             "extras": answers.extras(F.col("_answer")),
-        }
-    ).drop("_answer", "_reason", "ai_response", "error")
+        },
+        drop=("_answer", "_reason", "ai_response", "error"),
+    )

@@ -11,6 +11,7 @@ from ..functions import answers, fixed, rules
 from ..functions.detect import prompt_context
 from ..functions.text import event_hash
 from .detection import detect, with_format
+from .once import evaluate_once
 from .skew import join_by_hash
 from .storage import use_checkpoint_dir
 
@@ -80,9 +81,8 @@ def with_rule_fields(lines: DataFrame, json_actor: bool = False) -> DataFrame:
             shape, F.col("_message"), F.col("_src"), F.col("_dst"), F.col("_user"), F.col("_host")
         ).alias("confidence"),
     )
-    return step.withColumn("found", found).drop(
-        "_record", "_shape", "_src", "_dst", "_user", "_host", "_target", "_message", "sample"
-    )
+    temporary = ("_record", "_shape", "_src", "_dst", "_user", "_host", "_target", "_message", "sample")
+    return evaluate_once(step, {"found": found}, drop=temporary)
 
 
 def extract_rules(lines: DataFrame, json_actor: bool = False) -> DataFrame:

@@ -105,7 +105,7 @@ def read_objects(
     UTF-8 are replaced.
     """
     root, rest = (path, "") if isinstance(path, list) else _prefix_root(path, prefix)
-    objects = _reader(spark, streaming, tolerant, options).option("wholetext", "true").text(root)
+    objects = _reader(spark, streaming, tolerant, options).text(root, wholetext=True)
     keyed = objects.select(
         F.col("_metadata.file_path").alias("file_path"), F.make_valid_utf8("value").alias("text")
     )
