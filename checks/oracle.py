@@ -490,7 +490,7 @@ def sql() -> dict[str, str]:
         ("h11_enums", "category, outcome"), ("h12_confidence", "confidence"), ("h13_ip_fields", "src_ip, dst_ip"), ("h14_extras", "extras"),
     ):
         over(key, HEALED, f"SELECT line_id, {columns} FROM ev")
-    over("h2_src_ip_fix", HEALED, "SELECT line_id, problem, host_t AS source_host, CAST(to_json(issues) AS VARCHAR) AS issues FROM h4")
+    over("h2_src_ip_fix", HEALED, "SELECT line_id, problem, CASE WHEN host_k = 'string' THEN host_t END AS source_host, CAST(to_json(issues) AS VARCHAR) AS issues FROM h4")
     over("h3_date_in_raw", [("lines", f"SELECT * FROM ({ANSWERS_SQL})"),
          ("t", "SELECT line_id, raw, regexp_extract(ai_response, '\"event_ts\":\"?([^\",]*)', 1) AS ts FROM lines")],
          f"SELECT line_id, coalesce({date_in_raw('ts', 'raw')}, false) AS found FROM t")

@@ -174,7 +174,8 @@ def _assembled(spark, sf) -> DataFrame:
 
 
 def _healed(spark, sf) -> DataFrame:
-    return healing.heal_fields(_assembled(spark, sf), F.lit(NOW))
+    answer = healing.Answer.of_cells(F.col("cells"))
+    return healing.heal_fields(_assembled(spark, sf), answer, F.lit(NOW))
 
 
 def _events(spark, sf) -> DataFrame:
@@ -236,7 +237,7 @@ def h2_src_ip_fix(spark, sf):
     return _healed(spark, sf).select(
         "line_id",
         F.col("_src_problem").alias("problem"),
-        F.col("_host")["text"].alias("source_host"),
+        F.col("_host_text").alias("source_host"),
         F.to_json("_issues").alias("issues"),
     )
 

@@ -1,11 +1,13 @@
 """Extractor answers: text to a JSON object, and typed access to its keys.
 
-A *cell* is a struct ``kind, text``: the JSON kind of one answer value (null, string, boolean, number, object,
-array) and its text.  Healing needs the kind, because the text of ``1`` and ``"1"`` is the same.
+Healing needs the JSON kind of a value (null, string, boolean, number, object, array) next to its text, because the
+text of ``1`` and ``"1"`` is the same.  A table of answers holds both in a struct ``kind, text`` per key.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from .text import strip
@@ -57,12 +59,25 @@ def extract_json(text: Column) -> Column:
     return F.coalesce(_strict_object(strip(text)), _strict_object(strip(bare)), _strict_object(braces))
 
 
-def _value(answer: Column, key: str) -> Column:
-    return F.try_variant_get(answer, f"$.{key}", "variant")
+@dataclass(frozen=True)
+class Cell:
+    """One answer value.  ``kind`` is None for a value that is text or null by construction."""
+
+    text: Column
+    kind: Column | None = None
 
+    @classmethod
+    def of(cls, struct: Column) -> Cell:
+        return cls(struct["text"], struct["kind"])
 
-def is_present(answer: Column, key: str) -> Column:
-    return _value(answer, key).isNotNull()
+    def is_kind(self, *kinds: str) -> Column:
+        if self.kind is not None:
+            return self.kind.isin(*kinds)
+        parts = {"string": self.text.isNotNull(), "null": self.text.isNull()}
+        found = F.lit(False)
+        for kind in kinds:
+            found = found | parts.get(kind, F.lit(False))
+        return found
 
 
 def make_cell(kind, text) -> Column:
@@ -71,13 +86,13 @@ def make_cell(kind, text) -> Column:
     return F.struct(kind.alias("kind"), text.cast("string").alias("text"))
 
 
-def string_cell(text: Column) -> Column:
-    return make_cell(F.when(text.isNull(), "null").otherwise("string"), text)
+def value(answer: Column, key: str) -> Column:
+    """Value of one key; null when the key is missing, a VARIANT null when it holds JSON null."""
+    return F.try_variant_get(answer, f"$.{key}", "variant")
 
 
-def cell(answer: Column, key: str) -> Column:
-    """Kind and text of one key, with the default for a missing key."""
-    schema = F.schema_of_variant(_value(answer, key))
+def cell(value: Column, schema: Column, key: str) -> Column:
+    """Kind and text of the value of ``key`` with the given schema text; a missing key has its default."""
     default_kind, default_text = MISSING_DEFAULTS.get(key, ("null", None))
     kind = (
         F.when(schema.isNull(), default_kind)
@@ -88,16 +103,11 @@ def cell(answer: Column, key: str) -> Column:
         .when(schema.startswith("ARRAY"), "array")
         .otherwise("number")
     )
-    text = F.try_variant_get(answer, f"$.{key}", "string")
+    text = F.try_variant_get(value, "$", "string")
     text = F.when(schema.isNull(), F.lit(default_text)).when(schema == "BOOLEAN", F.initcap(text)).otherwise(text)
     return make_cell(kind, text)
 
 
-def cells(answer: Column) -> Column:
-    return F.struct(*[cell(answer, key).alias(key) for key in CELL_KEYS])
-
-
-def extras(answer: Column) -> Column:
+def extras(value: Column, schema: Column) -> Column:
     """The ``extras`` object as VARIANT; anything that is not an object becomes ``{}``."""
-    value = _value(answer, "extras")
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value).otherwise(F.parse_json(F.lit("{}")))
+    return F.when(schema.startswith("OBJECT"), value).otherwise(F.parse_json(F.lit("{}")))

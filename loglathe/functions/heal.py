@@ -1,16 +1,19 @@
-"""Healing and validation rules, ``Column -> Column``; cells are described in ``answers``."""
+"""Healing and validation rules on answer cells."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .answers import Cell
 from .text import is_hostname, is_ip, strip
 
 
-def is_truthy(cell: Column) -> Column:
+def is_truthy(cell: Cell) -> Column:
     """Whether a dynamic value counts as set: not null, empty, zero or false."""
-    kind, text = cell["kind"], cell["text"]
+    kind, text = cell.kind, cell.text
+    if kind is None:
+        return F.coalesce(text != "", F.lit(False))
     return (
         F.when(kind == "null", False)
         .when(kind == "string", text != "")
@@ -21,34 +24,31 @@ def is_truthy(cell: Column) -> Column:
     )
 
 
-def in_enum(cell: Column, allowed: tuple[str, ...], default: str) -> Column:
+def in_enum(cell: Cell, allowed: tuple[str, ...], default: str) -> Column:
     """Case-sensitive membership; anything else becomes the default."""
-    return F.when((cell["kind"] == "string") & cell["text"].isin(*allowed), cell["text"]).otherwise(F.lit(default))
+    return F.when(cell.is_kind("string") & cell.text.isin(*allowed), cell.text).otherwise(F.lit(default))
 
 
-def confidence_value(cell: Column) -> Column:
+def confidence_value(cell: Cell) -> Column:
     """Number, numeric text or boolean to a double in 0..1; everything else, and not-a-number, is 0."""
-    kind, text = cell["kind"], cell["text"]
-    trimmed = strip(text)
-    numeric = F.when(trimmed.rlike(fixed.FLOAT_TEXT), F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double"))
+    text, trimmed = cell.text, strip(cell.text)
+    is_float = trimmed.rlike(fixed.FLOAT_TEXT)
     value = (
-        F.when(kind == "boolean", F.when(text == "True", 1.0).otherwise(0.0))
-        .when(kind == "number", text.try_cast("double"))
-        .when((kind == "string") & trimmed.rlike(fixed.POSITIVE_INFINITY), F.lit(1.0))
-        .when(kind == "string", numeric)
+        F.when(cell.is_kind("number"), text.try_cast("double"))
+        .when(cell.is_kind("boolean"), F.when(text == "True", 1.0).otherwise(0.0))
+        .when(cell.is_kind("string") & is_float, F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double"))
+        .when(cell.is_kind("string") & trimmed.rlike(fixed.POSITIVE_INFINITY), F.lit(1.0))
     )
-    value = F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))))
 
 
 def below_gate(confidence: Column) -> Column:
     return confidence < fixed.CONFIDENCE_GATE
 
 
-def ip_or_null(cell: Column) -> Column:
+def ip_or_null(stripped: Column) -> Column:
     """Stripped text when it has the shape of an address."""
-    text = strip(cell["text"])
-    return F.when(is_ip(text), text)
+    return F.when(is_ip(stripped), stripped)
 
 
 def src_ip_problem(text: Column) -> Column:
@@ -77,18 +77,20 @@ def _fill(pattern: str, *values: Column) -> Column:
     return F.concat(*parts)
 
 
-def string_error(cell: Column) -> Column:
-    """Error text of a value that must be text or null."""
-    return F.when(~cell["kind"].isin("string", "null"), F.lit(fixed.ERROR_STRING))
+def string_error(cell: Cell) -> Column | None:
+    """Error text of a value that must be text or null; None when it cannot fail."""
+    if cell.kind is None:
+        return None
+    return F.when(~cell.is_kind("string", "null"), F.lit(fixed.ERROR_STRING))
 
 
-def text_or_null(cell: Column) -> Column:
-    return F.when(cell["kind"] == "string", cell["text"])
+def text_or_null(cell: Cell) -> Column:
+    return cell.text if cell.kind is None else F.when(cell.kind == "string", cell.text)
 
 
-def bool_value(cell: Column) -> Column:
+def bool_value(cell: Cell) -> Column:
     """Boolean, 0 or 1, or one of the usual words; null when it is none of these."""
-    kind, text = cell["kind"], cell["text"]
+    kind, text = cell.kind, cell.text
     number = text.try_cast("double")
     word = F.lower(text)
     return (
@@ -99,15 +101,14 @@ def bool_value(cell: Column) -> Column:
     )
 
 
-def bool_error(cell: Column) -> Column:
-    kind, number = cell["kind"], cell["text"].try_cast("double")
+def bool_error(cell: Cell) -> Column:
+    """Error text of a value that ``bool_value`` cannot read."""
+    kind, number = cell.kind, cell.text.try_cast("double")
     unreadable = (kind == "string") | ((kind == "number") & (number == F.floor(number)))
-    return F.when(
-        bool_value(cell).isNull(),
-        F.when(unreadable, F.lit(fixed.ERROR_BOOL_PARSING)).otherwise(F.lit(fixed.ERROR_BOOL)),
-    )
+    return F.when(unreadable, F.lit(fixed.ERROR_BOOL_PARSING)).otherwise(F.lit(fixed.ERROR_BOOL))
 
 
-def collect_issues(*issues: Column) -> Column:
-    """Ordered array of the issues that are not null."""
-    return F.array_compact(F.array(*issues))
+def collect_issues(issues: list[Column]) -> Column:
+    """Ordered array of the issues that are not null; most events have none."""
+    none = F.coalesce(*issues).isNull()
+    return F.when(none, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*issues)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import extract, is_ip
+from .text import extract, is_ip, none_if_empty
 
 IP = r"\p{Nd}{1,3}(?:\.\p{Nd}{1,3}){3}"
 HEADER = r"^(?:<\p{Nd}{1,3}>)?[A-Z][a-z]{2}\s+\p{Nd}{1,2} \S+ \S+ "
@@ -34,14 +34,29 @@ def json_record(x: Column, label: Column) -> Column:
     return F.when(label == "json", F.from_json(x, RECORD_SCHEMA))
 
 
-def shape(x: Column, label: Column, j: Column) -> Column:
+def process(x: Column, label: Column) -> Column:
+    """Program name of a syslog line."""
+    return F.when(label == "syslog_rfc3164", F.regexp_extract(x, PROCESS, 1))
+
+
+def body(x: Column, process: Column) -> Column:
+    """Text after the program name; empty when there is none."""
+    return F.when(process != "", F.regexp_extract(x, BODY, 1))
+
+
+def firewall_verb(x: Column, label: Column) -> Column:
+    """BLOCK or ALLOW of a firewall line, else null or empty."""
+    return F.when(
+        (label == "syslog_rfc3164") & x.contains("[UFW "), F.regexp_extract(x, r"\[UFW (BLOCK|ALLOW)\]", 1)
+    )
+
+
+def shape(label: Column, j: Column, process: Column, verb: Column) -> Column:
     """Line shape: ssh, sudo, fw, cef, json or other."""
-    process = F.regexp_extract(x, PROCESS, 1)
     return (
         F.when(label == "cef", "cef")
         .when((label == "json") & j["eventName"].isNotNull(), "json")
-        .when(label != "syslog_rfc3164", "other")
-        .when(x.rlike(r"\[UFW (?:BLOCK|ALLOW)\]"), "fw")
+        .when(verb != "", "fw")
         .when(process == "sshd", "ssh")
         .when(process == "sudo", "sudo")
         .otherwise("other")
@@ -49,36 +64,37 @@ def shape(x: Column, label: Column, j: Column) -> Column:
 
 
 def src_ip(x: Column, j: Column) -> Column:
+    """The literal tests only spare lines the regular expressions that cannot match."""
+    after_from = F.coalesce(extract(x, rf" from ({IP})"), extract(x, rf" from user \S+ ({IP})"))
     return F.coalesce(
-        extract(x, rf"\b(?i:src)=({IP})"),
-        extract(x, rf" from ({IP})"),
-        extract(x, rf" from user \S+ ({IP})"),
+        F.when(x.contains("="), extract(x, rf"\b(?i:src)=({IP})")),
+        F.when(x.contains(" from "), after_from),
         j["sourceIPAddress"],
     )
 
 
 def dst_ip(x: Column) -> Column:
-    return extract(x, rf"\b(?i:dst)=({IP})")
+    return F.when(x.contains("="), extract(x, rf"\b(?i:dst)=({IP})"))
 
 
 def actor_user(x: Column, j: Column, json_actor: bool = False) -> Column:
     rules = [
-        extract(x, r" for (?:invalid user )?(\S+) from "),
-        extract(x, r" from user (\S+)"),
-        extract(x, r" sudo: (\S+)"),
-        extract(x, r"\bsuser=(\S+)"),
+        F.when(x.contains(" for "), extract(x, r" for (?:invalid user )?(\S+) from ")),
+        F.when(x.contains(" from user "), extract(x, r" from user (\S+)")),
+        F.when(x.contains(" sudo: "), extract(x, r" sudo: (\S+)")),
+        F.when(x.contains("suser="), extract(x, r"\bsuser=(\S+)")),
     ]
     if json_actor:
         rules.append(j["userIdentity"]["userName"])
     return F.coalesce(*rules)
 
 
-def source_host(x: Column) -> Column:
+def source_host(x: Column, label: Column) -> Column:
     """The token after the syslog time; an address is not a host name."""
     host = extract(
         x, r"^(?:<\p{Nd}{1,3}>)?[A-Z][a-z]{2}\s+\p{Nd}{1,2} \p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2} (\S+)"
     )
-    return F.when(~is_ip(host), host)
+    return F.when((label == "syslog_rfc3164") & ~is_ip(host), host)
 
 
 def category(shape: Column) -> Column:
@@ -91,33 +107,22 @@ def category(shape: Column) -> Column:
     )
 
 
-def _ssh_disconnect(x: Column) -> Column:
-    return F.regexp_extract(x, BODY, 1).startswith("Disconnected")
-
-
-def _firewall_verb(x: Column) -> Column:
-    return F.regexp_extract(x, r"\[UFW (BLOCK|ALLOW)\]", 1)
-
-
-def action(x: Column, shape: Column, j: Column) -> Column:
+def action(shape: Column, j: Column, body: Column, verb: Column) -> Column:
     return (
-        F.when(shape == "ssh", F.when(_ssh_disconnect(x), "disconnect").otherwise("login"))
+        F.when(shape == "ssh", F.when(body.startswith("Disconnected"), "disconnect").otherwise("login"))
         .when(shape == "sudo", "sudo")
-        .when(shape == "fw", F.lower(_firewall_verb(x)))
+        .when(shape == "fw", F.lower(verb))
         .when(shape == "cef", "detected")
         .when(shape == "json", j["eventName"])
     )
 
 
-def outcome(x: Column, shape: Column) -> Column:
-    ssh_word = F.regexp_extract(x, BODY, 1)
+def outcome(shape: Column, body: Column, verb: Column) -> Column:
     return (
-        F.when((shape == "ssh") & ssh_word.startswith("Accepted"), "success")
-        .when((shape == "ssh") & ssh_word.startswith("Failed"), "failure")
-        .when(shape == "sudo", "success")
-        .when((shape == "fw") & (_firewall_verb(x) == "BLOCK"), "failure")
-        .when(shape == "fw", "success")
-        .when(shape == "json", "success")
+        F.when((shape == "ssh") & body.startswith("Accepted"), "success")
+        .when((shape == "ssh") & body.startswith("Failed"), "failure")
+        .when((shape == "fw") & (verb == "BLOCK"), "failure")
+        .when(shape.isin("sudo", "fw", "json"), "success")
         .otherwise("unknown")
     )
 
@@ -134,7 +139,17 @@ def cef_name(x: Column) -> Column:
     return F.get(F.split(x, r"(?<!\\)\|"), 5)
 
 
-def message(x: Column, shape: Column, j: Column, src: Column, dst: Column, user: Column, target: Column) -> Column:
+def message(
+    x: Column,
+    shape: Column,
+    j: Column,
+    body: Column,
+    verb: Column,
+    src: Column,
+    dst: Column,
+    user: Column,
+    target: Column,
+) -> Column:
     sudo = F.concat(
         user,
         F.lit(" executed "),
@@ -143,7 +158,7 @@ def message(x: Column, shape: Column, j: Column, src: Column, dst: Column, user:
         extract(x, r"\bUSER=(\S+)"),
     )
     firewall = F.concat(
-        F.when(_firewall_verb(x) == "BLOCK", "UFW blocked ").otherwise("UFW allowed "),
+        F.when(verb == "BLOCK", "UFW blocked ").otherwise("UFW allowed "),
         extract(x, r"\bPROTO=(\S+)"),
         F.lit(" from "),
         F.concat_ws(":", src, extract(x, r"\bSPT=(\p{Nd}+)")),
@@ -161,7 +176,7 @@ def message(x: Column, shape: Column, j: Column, src: Column, dst: Column, user:
         " ", j["userIdentity"]["userName"], F.lit("accessed"), target, F.concat(F.lit("from "), src)
     )
     return (
-        F.when(shape == "ssh", extract(x, BODY))
+        F.when(shape == "ssh", none_if_empty(body))
         .when(shape == "sudo", sudo)
         .when(shape == "fw", firewall)
         .when(shape == "cef", cef)

@@ -47,17 +47,21 @@ def assemble(rows: DataFrame, now: Column) -> DataFrame:
     parsed = rows.withColumn(
         "_answer", F.when(F.col("error").isNull(), answers.extract_json(F.col("ai_response")))
     ).withColumn("_reason", failure_reason(F.col("_answer"), F.col("ai_response"), F.col("error")))
+    keys = answers.CELL_KEYS
+    valued = parsed.withColumns({f"_v_{k}": answers.value(F.col("_answer"), k) for k in keys})
+    typed = valued.withColumns({f"_t_{k}": F.schema_of_variant(f"_v_{k}") for k in keys})
+    cells = F.struct(*[answers.cell(F.col(f"_v_{k}"), F.col(f"_t_{k}"), k).alias(k) for k in keys])
     return evaluate_once(
-        parsed,
+        typed,
         {
             "event_hash": event_hash(F.col("raw")),
             "validation_issues": F.when(
                 reason.isNotNull(), F.array(F.concat(F.lit(fixed.PARSE_FAILURE_ISSUE), reason))
             ).otherwise(F.array().cast("array<string>")),
-            "cells": F.when(reason.isNotNull(), _fallback_cells(reason, now)).otherwise(
-                answers.cells(F.col("_answer"))
-            ),
-            "extras": answers.extras(F.col("_answer")),
+            "cells": F.when(reason.isNotNull(), _fallback_cells(reason, now)).otherwise(cells),
+            "extras": answers.extras(F.col("_v_extras"), F.col("_t_extras")),
         },
-        drop=("_answer", "_reason", "ai_response", "error"),
+        drop=(
+            "_answer", "_reason", "ai_response", "error", *[f"_v_{k}" for k in keys], *[f"_t_{k}" for k in keys]
+        ),
     )

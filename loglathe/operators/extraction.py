@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import answers, fixed, rules
+from ..functions import fixed, rules
 from ..functions.detect import prompt_context
 from ..functions.text import event_hash
 from .detection import detect, with_format
@@ -44,34 +44,44 @@ def build_prompt(lines: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFr
 def with_rule_fields(lines: DataFrame, json_actor: bool = False) -> DataFrame:
     """Add a struct ``found`` with the fields that the rules read from each line; keeps ``format_hint``.
 
-    Three projections, so that the parsed JSON record and the line shape are computed once.
+    Several projections, so that the parsed JSON record, the line shape and the line body are computed once.
     """
     x, label = F.col("sample"), F.col("format_hint")
     j, shape = F.col("_record"), F.col("_shape")
     base = lines if {"sample", "format_hint"} <= set(lines.columns) else with_format(lines)
+    process, body, verb = F.col("_process"), F.col("_body"), F.col("_verb")
     step = (
-        base.withColumn("_record", rules.json_record(x, label))
-        .withColumn("_shape", rules.shape(x, label, j))
+        base.withColumns(
+            {
+                "_record": rules.json_record(x, label),
+                "_process": rules.process(x, label),
+                "_verb": rules.firewall_verb(x, label),
+                "_dst": rules.dst_ip(x),
+                "_host": rules.source_host(x, label),
+            }
+        )
         .withColumns(
             {
+                "_shape": rules.shape(label, j, process, verb),
+                "_body": rules.body(x, process),
                 "_src": rules.src_ip(x, j),
-                "_dst": rules.dst_ip(x),
                 "_user": rules.actor_user(x, j, json_actor),
-                "_host": F.when(label == "syslog_rfc3164", rules.source_host(x)),
-                "_target": rules.target(shape, j),
             }
         )
+        .withColumn("_target", rules.target(shape, j))
         .withColumn(
             "_message",
-            rules.message(x, shape, j, F.col("_src"), F.col("_dst"), F.col("_user"), F.col("_target")),
+            rules.message(
+                x, shape, j, body, verb, F.col("_src"), F.col("_dst"), F.col("_user"), F.col("_target")
+            ),
         )
     )
     found = F.struct(
         rules.event_ts(x).alias("event_ts"),
         F.col("_host").alias("source_host"),
         rules.category(shape).alias("category"),
-        rules.action(x, shape, j).alias("action"),
-        rules.outcome(x, shape).alias("outcome"),
+        rules.action(shape, j, body, verb).alias("action"),
+        rules.outcome(shape, body, verb).alias("outcome"),
         F.col("_user").alias("actor_user"),
         F.col("_src").alias("src_ip"),
         F.col("_target").alias("target"),
@@ -81,7 +91,10 @@ def with_rule_fields(lines: DataFrame, json_actor: bool = False) -> DataFrame:
             shape, F.col("_message"), F.col("_src"), F.col("_dst"), F.col("_user"), F.col("_host")
         ).alias("confidence"),
     )
-    temporary = ("_record", "_shape", "_src", "_dst", "_user", "_host", "_target", "_message", "sample")
+    temporary = (
+        "_record", "_process", "_verb", "_shape", "_body", "_src", "_dst", "_user", "_host", "_target", "_message",
+        "sample",
+    )
     return evaluate_once(step, {"found": found}, drop=temporary)
 
 
@@ -109,22 +122,6 @@ def extract_rules(lines: DataFrame, json_actor: bool = False) -> DataFrame:
     )
 
 
-def rule_cells(found: Column) -> Column:
-    """The rule fields as answer cells, without a round trip through JSON text."""
-    constant = {
-        "ts_source": answers.make_cell("null", None),
-        "extras": answers.make_cell("object", "{}"),
-        "confidence": answers.make_cell("number", found["confidence"]),
-        "review_flag": answers.make_cell("boolean", "False"),
-    }
-    return F.struct(
-        *[
-            (constant[key] if key in constant else answers.string_cell(found[key])).alias(key)
-            for key in answers.CELL_KEYS
-        ]
-    )
-
-
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 ANSWER_FIELDS = [T.StructField("ai_response", T.StringType()), T.StructField("error", T.StringType())]

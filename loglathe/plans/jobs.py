@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import event_hash, iso_timestamp, strip
 from ..operators.assembly import assemble
 from ..operators.detection import with_format
-from ..operators.extraction import extract_with, rule_cells, with_rule_fields
-from ..operators.healing import safe_parse
+from ..operators.extraction import extract_with, with_rule_fields
+from ..operators.healing import Answer, safe_parse
 
 Extractor = Callable[[pd.DataFrame], pd.Series]
 
@@ -47,15 +47,14 @@ def parse(
 
 
 def _heal_rules(found: DataFrame, ingest_ts: str | Column | None) -> DataFrame:
-    assembled = found.withColumns(
+    events = found.withColumns(
         {
             "event_hash": event_hash(F.col("raw")),
             "validation_issues": F.array().cast("array<string>"),
-            "cells": rule_cells(F.col("found")),
             "extras": F.parse_json(F.lit("{}")),
         }
     )
-    return safe_parse(assembled.drop("found"), ingest_text(ingest_ts))
+    return safe_parse(events, ingest_text(ingest_ts), Answer.of_rules(F.col("found")))
 
 
 def parse_batch(
