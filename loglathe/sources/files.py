@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import detect as d, fixed
 from ..functions.text import strip
@@ -18,7 +18,7 @@ def _reader(spark: SparkSession, streaming: bool, tolerant: bool, options: dict)
     return reader.options(**options)
 
 
-def _checked(text, errors: str):
+def _checked(text: Column, errors: str) -> Column:
     if errors not in ("replace", "strict"):
         raise ValueError(f"errors must be 'replace' or 'strict', got {errors!r}")
     return F.make_valid_utf8(text) if errors == "replace" else F.validate_utf8(text)
@@ -146,6 +146,26 @@ def load_objects(
     return object_lines(objects).withColumnRenamed("pos", "line_id")
 
 
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every file below a path, empty ones too: ``file_path, file_name, suffix``.
+
+    Scans leave out empty files, so the names come from Spark's file index, which the driver holds for any scan.
+    """
+    index = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = spark.createDataFrame([(name,) for name in index.inputFiles()], "name STRING")
+    encoded = F.regexp_extract("file_path", r"[^/]*\z", 0)
+    return (
+        # Scans write a path without authority with one slash.
+        listed.select(F.regexp_replace("name", r"^([A-Za-z0-9+.\-]+):///", "$1:/").alias("file_path"))
+        .withColumn("file_name", F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))))
+        .withColumn("suffix", _suffix(F.col("file_name")))
+    )
+
+
+def _suffix(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"\.[^.]*\z", 0))
+
+
 def detect_files(spark: SparkSession, path: str | list[str], tolerant: bool = True) -> DataFrame:
     """One format hint per file: ``file_path, format, confidence, hint, raw_sample``.
 
@@ -153,11 +173,9 @@ def detect_files(spark: SparkSession, path: str | list[str], tolerant: bool = Tr
     so large files split across tasks and each task passes on one line.  Files without such a line come from the
     listing, ``.evtx`` files are labelled by name and not read.
     """
-    name, suffix = F.col("_metadata.file_name"), F.lower(F.regexp_extract("_metadata.file_name", r"\.[^.]*\z", 0))
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select(F.col("_metadata.file_path").alias("file_path"), name.alias("file_name"), suffix.alias("suffix"))
-    )
+    name = F.col("_metadata.file_name")
+    suffix = _suffix(name)
+    listing = list_files(spark, path)
     text = _reader(spark, False, tolerant, {}).text(path)
     lines = (
         text.where(~F.lower(name).endswith(".evtx"))
@@ -203,8 +221,6 @@ def _evtx_heads(spark: SparkSession, lines: DataFrame, first: DataFrame) -> Data
     A line takes at least one character, so the head needs at most that many lines; Spark limits each file to them
     in every map task before the shuffle.
     """
-    from pyspark.sql import Window
-
     limit = "spark.sql.optimizer.windowGroupLimitThreshold"
     if 0 <= int(spark.conf.get(limit)) < fixed.EVTX_HEAD_CHARS:
         spark.conf.set(limit, str(fixed.EVTX_HEAD_CHARS))
