@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks import corpus
 from checks.corpus import NOW
-from checks.queries import REGISTRY
+from checks.queries import _user_files, fake_extractor
 from loglathe.operators.dedup import dedup_new
 from loglathe.operators.detection import with_format
-from loglathe.operators.extraction import extract_rules
-from loglathe.plans import jobs
+from loglathe.operators.extraction import extract_rules, extract_with
 from loglathe.operators.framing import frame_chunks
+from loglathe.operators.metrics import status_counts
+from loglathe.operators.storage import work_path
+from loglathe.plans import jobs
+from loglathe.plans.sinks import Sinks, run_batch
+from loglathe.sources.files import detect_files
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +52,7 @@ def main() -> None:
     all_lines = corpus.all_lines(spark, SF_DIR).cache()
     answers = with_format(corpus.answers(spark, SF_DIR)).drop("sample").cache()
     chunks = corpus.chunks(spark, SF_DIR).cache()
+    user_files = _user_files(spark, SF_DIR)
     size = {"lines": lines.count(), "all_lines": all_lines.count(), "answers": answers.count(), "chunks": chunks.count()}
     jobs_ = {
         "detect": ("all_lines", lambda: run(with_format(all_lines))),
@@ -56,10 +61,10 @@ def main() -> None:
         "heal": ("answers", lambda: run(jobs.heal(answers, NOW))),
         "dedup": ("lines", lambda: run(dedup_new(jobs.parse(lines, ingest_ts=NOW)))),
         "frame_chunks": ("chunks", lambda: run(frame_chunks(chunks))),
-        "route": ("lines", lambda: run(REGISTRY["w6_json_lines"](spark, SF_DIR))),
-        "extract_with": ("lines", lambda: run(REGISTRY["x1_extract_with"](spark, SF_DIR))),
-        "detect_files": ("lines", lambda: run(REGISTRY["d15_detect_files"](spark, SF_DIR))),
-        "status_counts": ("lines", lambda: run(REGISTRY["m1_status_counts"](spark, SF_DIR))),
+        "run_batch": ("lines", lambda: run_batch(lines, Sinks.under(work_path(spark, "bench")), ingest_ts=NOW)),
+        "extract_with": ("lines", lambda: run(extract_with(lines, fake_extractor))),
+        "detect_files": ("lines", lambda: run(detect_files(spark, user_files))),
+        "status_counts": ("lines", lambda: run(status_counts(jobs.parse(lines, ingest_ts=NOW)))),
     }
     seconds, rate = {}, {}
     for name, (unit, job) in jobs_.items():

@@ -130,9 +130,8 @@ def x0_prompt(spark, sf):
 
 def fake_extractor(batch: pd.DataFrame) -> pd.Series:
     """Stands for a model: answers with the line length, fails on lines with a tab."""
-    if batch["raw"].str.contains("\t").any():
-        raise RuntimeError("line has a tab")
-    return '{"confidence":0.9,"message":"' + batch["raw"].str.len().astype(str) + '"}'
+    answers = '{"confidence":0.9,"message":"' + batch["raw"].str.len().astype(str) + '"}'
+    return answers.astype(object).mask(batch["raw"].str.contains("\t"), RuntimeError("line has a tab"))
 
 
 @query

@@ -136,8 +136,8 @@ def extract_with(
 ) -> DataFrame:
     """Run a user extractor and add ``ai_response`` and ``error``.
 
-    ``fn`` gets a pandas batch with ``raw`` and ``prompt`` and returns one answer text per row.  When a batch
-    fails, its rows are tried one by one; a row that fails keeps the exception text in ``error``.
+    ``fn`` gets a pandas batch with ``raw`` and ``prompt`` and returns one answer text per row, or an exception object
+    for a row that failed; its text becomes ``error``.  When ``fn`` raises, the rows of the batch are tried one by one.
 
     With ``once_per_line`` each distinct line is sent once and the answers are written to the checkpoint folder,
     so neither a lost executor nor a second action calls the extractor again; then they are joined back by hash.
@@ -161,22 +161,29 @@ def extract_with(
 
 
 def _answering(fn: Callable[[pd.DataFrame], pd.Series]) -> Extractor:
+    def ask(asked: pd.DataFrame) -> list:
+        answers = list(fn(asked))
+        if len(answers) != len(asked):
+            raise ValueError(f"extractor returned {len(answers)} answers for {len(asked)} lines")
+        return answers
+
+    def ask_one(asked: pd.DataFrame):
+        try:
+            return ask(asked)[0]
+        except Exception as exc:
+            return exc
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             asked = batch[["raw", "prompt"]]
             try:
-                texts, errors = list(fn(asked)), [None] * len(batch)
-                if len(texts) != len(batch):
-                    raise ValueError(f"extractor returned {len(texts)} answers for {len(batch)} lines")
+                answers = ask(asked)
             except Exception:
-                texts, errors = [], []
-                for i in range(len(asked)):
-                    try:
-                        texts.append(list(fn(asked.iloc[i : i + 1]))[0])
-                        errors.append(None)
-                    except Exception as exc:
-                        texts.append(None)
-                        errors.append(str(exc))
-            yield batch.assign(ai_response=texts, error=errors)
+                answers = [ask_one(asked.iloc[i : i + 1]) for i in range(len(asked))]
+            failed = [isinstance(answer, Exception) for answer in answers]
+            yield batch.assign(
+                ai_response=[None if bad else answer for answer, bad in zip(answers, failed)],
+                error=[str(answer) if bad else None for answer, bad in zip(answers, failed)],
+            )
 
     return run
