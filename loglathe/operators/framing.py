@@ -41,7 +41,7 @@ def chunk_anchors(cut: DataFrame, block: int = BLOCK_CHUNKS) -> DataFrame:
     numbers, and a second one over one row per block carries the value into the next blocks.
     """
     feed = F.when(F.size("pieces") > 1, F.col("seq"))
-    blocked = cut.withColumns({"_block": F.floor(F.col("seq") / block), "_feed": feed})
+    blocked = cut.withColumns({"_block": F.col("seq") - F.pmod("seq", F.lit(block)), "_feed": feed})
     before = Window.partitionBy("conn_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         blocked.groupBy("conn_id", "_block")
@@ -114,9 +114,10 @@ def frame_chunks(
     tail = F.struct(
         F.col("seq").alias("after_seq"), F.element_at("pieces", -1).alias("piece"), F.lit(False).alias("closed")
     )
-    parts = anchored.select(
-        "conn_id", "seq", "_count", F.explode(F.when(F.col("_count") > 1, F.array(head, tail)).otherwise(F.array(head))).alias("p")
-    ).select("conn_id", "seq", "_count", "p.*")
+    outer_parts = F.when(F.col("_count") > 1, F.array(head, tail)).otherwise(F.array(head))
+    parts = anchored.select("conn_id", "seq", "_count", F.explode(outer_parts).alias("p")).select(
+        "conn_id", "seq", "_count", "p.*"
+    )
     joined = (
         parts.groupBy("conn_id", "after_seq")
         .agg(
@@ -136,7 +137,6 @@ def frame_chunks(
     )
     if keep_open:
         inner = inner.withColumns({"open": F.lit(False), "tail": F.lit(None).cast("binary")})
-        return outer.withColumn("tail", F.when(F.col("open"), F.col("tail"))).unionByName(inner).where(
-            (F.col("raw") != "") | F.col("open")
-        )
+        ends = outer.withColumn("tail", F.when(F.col("open"), F.col("tail")))
+        return ends.unionByName(inner).where((F.col("raw") != "") | F.col("open"))
     return outer.unionByName(inner).where(F.col("raw") != "")
