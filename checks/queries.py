@@ -488,7 +488,7 @@ def s11_union_sources(spark, sf):
         {"type": "table", "name": "documents"},
     ]
 
-    def read_table(spark, block):
+    def read_table(spark, block, streaming):
         return c.all_lines(spark, sf).where(F.col("source") == block["name"]).select("raw")
 
     return union_sources(spark, blocks, {"table": read_table}).select("source", "raw")

@@ -30,6 +30,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{use_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop_path = _file_system(spark, path)
+    return system.exists(hadoop_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that a job wrote itself."""
+    system, hadoop_path = _file_system(spark, path)
+    system.delete(hadoop_path, True)

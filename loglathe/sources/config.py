@@ -46,10 +46,11 @@ def _check_file(block: dict) -> None:
     poll_interval(block, 0.25)
 
 
-def _read_file(spark: SparkSession, block: dict) -> DataFrame:
+def _read_file(spark: SparkSession, block: dict, streaming: bool) -> DataFrame:
     return read_lines(
         spark,
         block["path"],
+        streaming,
         start="latest" if block.get("tail", False) else "earliest",
         start_time=block.get("start_time"),
     )
@@ -60,9 +61,12 @@ def _check_s3(block: dict) -> None:
     poll_interval(block, 30.0)
 
 
-def _read_s3(spark: SparkSession, block: dict) -> DataFrame:
+def _read_s3(spark: SparkSession, block: dict, streaming: bool) -> DataFrame:
+    """Objects of a bucket; ``delete_after_read`` lets a stream delete what it has processed."""
     bucket = block["bucket"]
-    return load_objects(spark, bucket if "/" in bucket else f"s3a://{bucket}", block.get("prefix", ""))
+    path = bucket if "/" in bucket else f"s3a://{bucket}"
+    options = {"cleanSource": "delete"} if streaming and block.get("delete_after_read", False) else {}
+    return load_objects(spark, path, block.get("prefix", ""), streaming=streaming, **options)
 
 
 def _check_syslog(block: dict) -> None:
@@ -78,17 +82,21 @@ def _check_syslog(block: dict) -> None:
         raise SourceConfigError(f"source {source_name(block)!r}: port must be 1 to 65535, got {port!r}")
 
 
-def _read_syslog(spark: SparkSession, block: dict) -> DataFrame:
+def _read_syslog(spark: SparkSession, block: dict, streaming: bool) -> DataFrame:
     """Payloads that a relay wrote as Parquet: ``payload`` per datagram, or ``conn_id, seq, payload`` per chunk."""
-    captured = spark.read.parquet(_require(block, "path"))
+    path = _require(block, "path")
     options = {"encoding": block.get("encoding", "utf-8"), "errors": block.get("errors", "replace")}
     if str(block.get("protocol", "udp")).lower() == "udp":
-        return frame_datagrams(captured, **options)
-    return frame_chunks(captured, **options)
+        reader = spark.readStream if streaming else spark.read
+        return frame_datagrams(reader.schema("payload BINARY").parquet(path), **options)
+    if streaming:
+        raise SourceConfigError(f"source {source_name(block)!r}: stream chunks with frame_chunk_stream")
+    return frame_chunks(spark.read.parquet(path), **options)
 
 
+Reader = Callable[[SparkSession, dict, bool], DataFrame]
 CHECKS: dict[str, Callable[[dict], None]] = {"file": _check_file, "s3": _check_s3, "syslog": _check_syslog}
-READERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
+READERS: dict[str, Reader] = {
     "file": _read_file,
     "s3": _read_s3,
     "syslog": _read_syslog,
@@ -108,21 +116,28 @@ def check_sources(blocks: Any) -> list[dict]:
     return blocks
 
 
+def shortest_poll(blocks: list[dict]) -> float:
+    """Shortest poll interval of the declared sources: the trigger of one query over all of them."""
+    defaults = {"file": 0.25, "s3": 30.0}
+    return min(poll_interval(block, defaults.get(block["type"], 1.0)) for block in check_sources(blocks))
+
+
 def union_sources(
     spark: SparkSession,
     blocks: list[dict],
-    readers: dict[str, Callable[[SparkSession, dict], DataFrame]] | None = None,
+    readers: dict[str, Reader] | None = None,
+    streaming: bool = False,
 ) -> DataFrame:
     """Every declared source (``type``, ``name`` and options) in one table with ``source`` and ``source_rank``.
 
-    ``readers`` adds types or replaces the reader of a type.
+    ``readers`` adds types or replaces the reader of a type; a reader gets the session, the block and ``streaming``.
     """
     known = {**READERS, **(readers or {})}
     tables = []
     for rank, block in enumerate(check_sources(blocks)):
         if block["type"] not in known:
             raise SourceConfigError(f"source {source_name(block)!r}: unknown type {block['type']!r}")
-        lines = known[block["type"]](spark, block)
+        lines = known[block["type"]](spark, block, streaming)
         tables.append(lines.withColumns({"source": F.lit(source_name(block)), "source_rank": F.lit(rank)}))
     if not tables:
         return spark.createDataFrame([], "raw STRING, source STRING, source_rank INT")

@@ -61,8 +61,9 @@ def _now(spark: SparkSession):
 
 
 def with_line_id(lines: DataFrame) -> DataFrame:
-    """Number lines in read order within each split of a file."""
-    return lines.withColumn("line_id", F.monotonically_increasing_id())
+    """Number lines that have no number yet, in read order within each split of a file."""
+    place = F.monotonically_increasing_id()
+    return lines.withColumn("line_id", F.coalesce("line_id", place) if "line_id" in lines.columns else place)
 
 
 def list_keys(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:

@@ -9,7 +9,9 @@ from loglathe.functions.text import decode
 from loglathe.operators.framing import frame_chunks, frame_datagrams
 from loglathe.operators.unwrap import object_lines, split_text, unwrap_records
 from loglathe.sources import files
-from loglathe.sources.config import SourceConfigError, check_sources, union_sources
+from loglathe.plans.sinks import Sinks
+from loglathe.sources.config import SourceConfigError, check_sources, shortest_poll, union_sources
+from loglathe.streaming.run import run_stream
 
 
 def raws(df):
@@ -156,6 +158,28 @@ def test_declared_sources(spark, tmp_path):
     }
 
 
+def test_declared_sources_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.log").write_text("one\ntwo\n")
+    (tmp_path / "bucket").mkdir()
+    (tmp_path / "bucket" / "o.json").write_text('{"Records":[{"a":1}]}')
+    captured = str(tmp_path / "captured")
+    spark.createDataFrame([(bytearray(b"packet\n"),)], "payload BINARY").write.parquet(captured)
+    blocks = [
+        {"type": "file", "path": str(tmp_path / "in"), "poll_interval": 2},
+        {"type": "file", "name": "late", "path": str(tmp_path / "in"), "tail": True},
+        {"type": "s3", "bucket": str(tmp_path / "bucket"), "delete_after_read": True},
+        {"type": "syslog", "path": captured, "poll_interval": 1},
+    ]
+    assert shortest_poll(blocks) == 0.25
+    sinks = Sinks.under(str(tmp_path / "out"))
+    run_stream(union_sources(spark, blocks, streaming=True), sinks, str(tmp_path / "cp"), ingest_ts="2026-01-01T00:00:00+00:00").awaitTermination()
+    found = spark.read.text(sinks.review).select(F.get_json_object("value", "$.raw").alias("raw"))
+    assert raws(found) == ["one", "packet", "two", '{"a":1}']
+    with pytest.raises(SourceConfigError):
+        union_sources(spark, [{"type": "syslog", "protocol": "tcp", "path": captured}], streaming=True)
+
+
 @pytest.mark.parametrize("blocks", [
     {}, ["x"], [{}], [{"type": "file"}], [{"type": "file", "path": "x", "poll_interval": 0}], [{"type": "s3"}],
     [{"type": "syslog", "protocol": "icmp"}], [{"type": "syslog", "port": 70000}],
