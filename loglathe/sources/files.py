@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import detect as d, fixed
 from ..functions.text import strip
+from ..operators.storage import use_checkpoint_dir
 from ..operators.unwrap import object_lines, split_text
 
 _METADATA = {"file_path": "file_path", "block_start": "file_block_start"}
@@ -194,6 +195,9 @@ def detect_files(spark: SparkSession, path: str | list[str], tolerant: bool = Tr
         .agg(F.min_by("sample", "place").alias("sample"))
         .withColumn("format", d.format_label(F.col("sample")))
     )
+    # One row per file, used twice: written once, so the lines are scanned once for it.
+    use_checkpoint_dir(spark)
+    first = first.checkpoint()
     heads = _evtx_heads(spark, lines, first)
     x, label = F.col("sample"), F.col("format")
     is_binary = F.col("suffix") == ".evtx"
@@ -219,8 +223,9 @@ def detect_files(spark: SparkSession, path: str | list[str], tolerant: bool = Tr
 def _evtx_heads(spark: SparkSession, lines: DataFrame, first: DataFrame) -> DataFrame:
     """XML files by first line whose first characters hold event log markers.
 
-    A line takes at least one character, so the head needs at most that many lines; Spark limits each file to them
-    in every map task before the shuffle.
+    A character takes at most four bytes, so only splits that begin near the start of a file can hold its head.  A
+    line takes at least one character, so the head needs at most that many lines; Spark limits each file to them in
+    every map task before the shuffle.
     """
     limit = "spark.sql.optimizer.windowGroupLimitThreshold"
     if 0 <= int(spark.conf.get(limit)) < fixed.EVTX_HEAD_CHARS:
@@ -229,13 +234,19 @@ def _evtx_heads(spark: SparkSession, lines: DataFrame, first: DataFrame) -> Data
     order = Window.partitionBy("file_path").orderBy("place")
     head = (
         lines.where(F.col("suffix").isin(".xml", ".log"))
-        .join(candidates.select("file_path"), "file_path", "left_semi")
+        .where(F.col("place")["file_block_start"] < 4 * fixed.EVTX_HEAD_CHARS)
+        # Of a longer line only the part that can lie in the head matters; the length keeps the positions.
+        .select(
+            "file_path",
+            "place",
+            F.length("value").alias("_chars"),
+            F.substring("value", 1, fixed.EVTX_HEAD_CHARS).alias("value"),
+        )
         .withColumn("_row", F.row_number().over(order))
         .where(F.col("_row") <= fixed.EVTX_HEAD_CHARS)
-        .withColumn("_start", F.sum(F.length("value") + 1).over(order) - F.length("value") - 1)
+        .join(candidates.select("file_path"), "file_path", "left_semi")
+        .withColumn("_start", F.sum(F.col("_chars") + 1).over(order) - F.col("_chars") - 1)
         .where(F.col("_start") < fixed.EVTX_HEAD_CHARS)
-        # Only the part of a line that lies in the head is grouped: at most the head itself per file.
-        .withColumn("value", F.substring("value", 1, fixed.EVTX_HEAD_CHARS))
         .groupBy("file_path")
         .agg(F.array_sort(F.collect_list(F.struct("_start", "value"))).alias("_lines"))
     )
