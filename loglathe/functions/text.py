@@ -72,10 +72,15 @@ def fixed2(col: Column) -> Column:
 
 
 def iso_timestamp(ts: Column) -> Column:
-    """ISO text with offset; the fraction is left out when it is zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
-    fraction = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
-    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(fraction)
+    """ISO text in UTC, whatever the session time zone; the fraction is left out when it is zero."""
+    seconds = F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1000000)
+    utc = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    text = F.replace(utc.cast("string"), F.lit(" "), F.lit("T"))
+    fraction = F.rpad(F.substring_index(text, ".", -1), 6, "0")
+    whole = F.substring_index(text, ".", 1)
+    return F.when(
+        text.contains("."), F.concat(whole, F.lit("."), fraction, F.lit("+00:00"))
+    ).otherwise(F.concat(whole, F.lit("+00:00")))
 
 
 def decode(payload: Column, encoding: str = "utf-8", errors: str = "replace") -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglathe.functions.detect import is_csv, is_kv, prompt_context
-from loglathe.functions.text import fixed2, is_hostname, is_ip, is_printable, strip
+from loglathe.functions.text import fixed2, iso_timestamp, is_hostname, is_ip, is_printable, strip
 from loglathe.operators.detection import detect, profile_formats
 
 BOUNDARIES = [
@@ -120,3 +120,14 @@ def test_prompt_context(lines):
 def test_profile(lines):
     rows = profile_formats(lines(["a,b,c,d", "a,b,c,e", "x"])).collect()
     assert {(r["format_hint"], r["lines"]) for r in rows} == {("csv", 2), ("plaintext", 1)}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_iso_timestamp(spark, zone):
+    texts = {"2026-03-29T01:30:00Z": "2026-03-29T01:30:00+00:00", "2026-10-25T00:30:00.5Z": "2026-10-25T00:30:00.500000+00:00"}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", iso_timestamp(F.to_timestamp("t")).alias("v"))
+        assert {r["t"]: r["v"] for r in df.collect()} == texts
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -250,3 +250,10 @@ def test_parse_batch(lines, spark):
 
 def test_null_lines_are_dropped(lines):
     assert with_format(lines(["x", None])).count() == 1
+
+
+def test_default_ingest_time_is_utc_now(lines):
+    from datetime import datetime, timedelta, timezone
+
+    text = parse(lines(["x"])).first()["event_ts"]
+    assert abs(datetime.now(timezone.utc) - datetime.fromisoformat(text)) < timedelta(minutes=5)
