@@ -16,19 +16,26 @@ MAX_TRUSTED = 20_000
 #: Standard deviations below the trusted documents' mean ratio at which a text is rejected.
 DEVIATIONS = 5.0
 
-_SPACES = " \t\n\x0b\f\r"
-_SYMBOLS = "#*$%&|<>"
-
+#: Bits of a window's place in the number that it is sorted by; the others are of its hash.
+PLACE_BITS = 14
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+_SYMBOLS = "#*$%&|<>"
 
 
 def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, also where ``use`` refers to it inside a lambda."""
+    """``use(value)`` with ``value`` computed once, also where ``use`` refers to it inside a lambda.
+
+    It also keeps loops over a text's words out of the generated code of the whole stage, which would grow beyond the
+    size up to which the JVM compiles a method.
+    """
     return F.transform(F.array(value), use)[0]
 
 
+def words(text: Column) -> Column:
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    return bound(parts, lambda p: F.array_remove(p, ""))
+
+
 def _repeated(all_words: Column) -> Column:
     """Words that lie in a three-word window which the text has twice or more."""
     windows = bound(
@@ -39,19 +46,28 @@ def _repeated(all_words: Column) -> Column:
         ).otherwise(F.array().cast("array<bigint>")),
     )
 
-    def covered(hashes: Column) -> Column:
-        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        hits = bound(
+    def hits(ordered: Column, key) -> Column:
+        return bound(
             ordered,
             lambda s: F.filter(
                 s,
-                lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"]))
-                | ((i < F.size(s) - 1) & (F.get(s, i + 1)["h"] == x["h"])),
+                lambda x, i: ((i > 0) & (key(F.get(s, i - 1)) == key(x)))
+                | ((i < F.size(s) - 1) & (key(F.get(s, i + 1)) == key(x))),
             ),
         )
-        return F.size(
-            F.array_distinct(F.flatten(F.transform(hits, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-        )
+
+    def covered(hashes: Column) -> Column:
+        # place and hash in one number sort fastest; a text with more windows than places has pairs sorted
+        packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long"))))
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        places = F.when(
+            F.size(hashes) < 1 << PLACE_BITS,
+            F.transform(
+                hits(packed, lambda x: F.shiftright(x, PLACE_BITS)),
+                lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int"),
+            ),
+        ).otherwise(F.transform(hits(pairs, lambda x: x["h"]), lambda x: x["i"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(x, x + 1, x + 2)))))
 
     return bound(
         windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))
@@ -63,32 +79,62 @@ def base_columns(text: Column, all_words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(all_words).cast("long"),
-        "word_chars": F.length(F.translate(text, _SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
+        "word_chars": bound(all_words, lambda w: F.length(F.array_join(w, ""))).cast("long"),
+        "n_symbols": bound(
+            text,
+            lambda t: F.when(
+                t.rlike(f"[{_SYMBOLS}]"), F.length(t) - F.length(F.translate(t, _SYMBOLS, ""))
+            ).otherwise(F.lit(0)),
+        ).cast("long"),
         "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": _repeated(all_words),
     }
 
 
+def codes(all_words: Column) -> Column:
+    return F.transform(all_words, lambda w: F.crc32(w))
+
+
+def _single(u: Column, i: Column) -> Column:
+    return F.get(u, i) % BUCKETS
+
+
+def _double(u: Column, i: Column) -> Column:
+    return (F.get(u, i) * 31 + F.get(u, i + 1)) % BUCKETS + BUCKETS
+
+
 def terms(all_words: Column) -> Column:
-    """Buckets of a text's one-word and two-word terms, one after the other."""
+    """Buckets of a text's one-word and two-word terms, one after the other; null after the last word."""
     return bound(
-        F.transform(all_words, lambda w: F.crc32(w)),
+        codes(all_words),
         lambda u: F.concat(
-            F.transform(u, lambda x: x % BUCKETS),
-            F.when(
-                F.size(u) > 1,
-                F.transform(
-                    F.sequence(F.lit(0), F.size(u) - 2), lambda i: (u[i] * 31 + u[i + 1]) % BUCKETS + BUCKETS
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
+            F.transform(u, lambda x: x % BUCKETS), F.transform(u, lambda x, i: (x * 31 + F.get(u, i + 1)) % BUCKETS + BUCKETS)
+        ),
+    )
+
+
+def _mean_ratio(all_words: Column, table: Column) -> Column:
+    """Mean of the table's values over a text's terms, 0 for a text without words."""
+
+    def total(u: Column) -> Column:
+        first = F.get(table, (F.get(u, F.lit(0)) % BUCKETS).cast("int"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(u) - 1),
+            first,
+            lambda s, i: s + F.get(table, _single(u, i).cast("int")) + F.get(table, _double(u, i - 1).cast("int")),
+        )
+
+    return bound(
+        codes(all_words),
+        lambda u: F.when(F.size(u) == 0, F.lit(0.0)).when(F.size(u) > 1, total(u) / (2 * F.size(u) - 1)).otherwise(
+            F.get(table, (F.get(u, F.lit(0)) % BUCKETS).cast("int"))
         ),
     )
 
 
 def _counts(texts: DataFrame) -> dict[int, int]:
     """Terms in each bucket; at most ``2 * BUCKETS`` rows come to the driver."""
-    found = texts.select(F.explode(terms(words(F.col("text")))).alias("term")).groupBy("term").count()
+    found = texts.select(F.explode(terms(words(F.col("text")))).alias("term")).groupBy("term").count().where("term IS NOT NULL")
     return {r["term"]: r["count"] for r in found.collect()}
 
 
@@ -128,13 +174,9 @@ OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 def _judged(docs: DataFrame, table: Column) -> DataFrame:
     text = F.col("text").cast("string")
     cut = docs.drop(*OWN).withColumn("_words", words(text))
-    based = cut.withColumns(base_columns(text, F.col("_words"))).withColumn("_terms", terms(F.col("_words")))
-    mean = F.aggregate("_terms", F.lit(0.0), lambda s, t: s + F.get(table, t.cast("int"))) / F.size("_terms")
-    return (
-        based.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-        .withColumn("ratio", F.when(F.size("_terms") > 0, mean).otherwise(F.lit(0.0)))
-        .drop("_words", "_terms")
-    )
+    own = base_columns(text, F.col("_words")) | {"ratio": _mean_ratio(F.col("_words"), table)}
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return cut.withColumns(own).withColumn("base_failed", failed).drop("_words")
 
 
 def scored(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
