@@ -16,6 +16,8 @@ MAX_TRUSTED = 20_000
 #: Standard deviations below the trusted documents' mean ratio at which a text is rejected.
 DEVIATIONS = 5.0
 
+#: A ratio is kept as one of ``2 * MIDDLE`` levels, ``PER_UNIT`` to a unit.
+MIDDLE, PER_UNIT = 64, 8
 #: Bits of a window's place in the number that it is sorted by; the others are of its hash.
 PLACE_BITS = 14
 
@@ -95,14 +97,6 @@ def codes(all_words: Column) -> Column:
     return F.transform(all_words, lambda w: F.crc32(w))
 
 
-def _single(u: Column, i: Column) -> Column:
-    return F.get(u, i) % BUCKETS
-
-
-def _double(u: Column, i: Column) -> Column:
-    return (F.get(u, i) * 31 + F.get(u, i + 1)) % BUCKETS + BUCKETS
-
-
 def terms(all_words: Column) -> Column:
     """Buckets of a text's one-word and two-word terms, one after the other; null after the last word."""
     return bound(
@@ -113,23 +107,21 @@ def terms(all_words: Column) -> Column:
     )
 
 
-def _mean_ratio(all_words: Column, table: Column) -> Column:
+def _mean_ratio(all_words: Column, table: bytes) -> Column:
     """Mean of the table's values over a text's terms, 0 for a text without words."""
+    levels = F.array(*(F.lit((n - MIDDLE) / PER_UNIT) for n in range(2 * MIDDLE)))
+
+    def value(bucket: Column) -> Column:
+        return F.get(levels, F.ascii(F.substring(F.lit(table), bucket.cast("int") + 1, F.lit(1)).cast("string")))
 
     def total(u: Column) -> Column:
-        first = F.get(table, (F.get(u, F.lit(0)) % BUCKETS).cast("int"))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(u) - 1),
-            first,
-            lambda s, i: s + F.get(table, _single(u, i).cast("int")) + F.get(table, _double(u, i - 1).cast("int")),
+        both = F.concat(
+            F.transform(u, lambda x: x % BUCKETS),
+            F.transform(F.slice(u, F.lit(2), F.size(u)), lambda x, i: (F.get(u, i) * 31 + x) % BUCKETS + BUCKETS),
         )
+        return F.aggregate(both, F.lit(0.0), lambda s, t: s + value(t)) / (2 * F.size(u) - 1)
 
-    return bound(
-        codes(all_words),
-        lambda u: F.when(F.size(u) == 0, F.lit(0.0)).when(F.size(u) > 1, total(u) / (2 * F.size(u) - 1)).otherwise(
-            F.get(table, (F.get(u, F.lit(0)) % BUCKETS).cast("int"))
-        ),
-    )
+    return bound(codes(all_words), lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(total(u)))
 
 
 def _counts(texts: DataFrame) -> dict[int, int]:
@@ -149,29 +141,26 @@ def chosen_ids(trusted_ids: DataFrame) -> DataFrame:
     )
 
 
-def ratios(trusted: DataFrame, docs: DataFrame) -> list[float]:
-    """Log ratio of each term under the trusted and the raw multinomial, both with one added to every bucket."""
+def ratios(trusted: DataFrame, docs: DataFrame) -> bytes:
+    """Log ratio of each term under the trusted and the raw multinomial, both with one added to every bucket.
+
+    A byte a term, in steps of ``1 / PER_UNIT``: a constant of the plan that stays small.
+    """
     target, raw = _counts(trusted), _counts(docs)
-    out = []
+    out = bytearray()
     for first in (0, BUCKETS):
         n_target = sum(target.get(first + i, 0) for i in range(BUCKETS)) + BUCKETS
         n_raw = sum(raw.get(first + i, 0) for i in range(BUCKETS)) + BUCKETS
-        out += [
-            math.log((target.get(i, 0) + 1) / n_target) - math.log((raw.get(i, 0) + 1) / n_raw)
-            for i in range(first, first + BUCKETS)
-        ]
-    return out
-
-
-def _table(values: list[float]) -> Column:
-    """The ratios as one constant array of the plan."""
-    return F.split(F.lit(" ".join(f"{v:.6f}" for v in values)), " ").cast("array<double>")
+        for i in range(first, first + BUCKETS):
+            x = math.log((target.get(i, 0) + 1) / n_target) - math.log((raw.get(i, 0) + 1) / n_raw)
+            out.append(min(max(math.floor(x * PER_UNIT + 0.5) + MIDDLE, 0), 2 * MIDDLE - 1))
+    return bytes(out)
 
 
 OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
 
 
-def _judged(docs: DataFrame, table: Column) -> DataFrame:
+def _judged(docs: DataFrame, table: bytes) -> DataFrame:
     text = F.col("text").cast("string")
     cut = docs.drop(*OWN).withColumn("_words", words(text))
     own = base_columns(text, F.col("_words")) | {"ratio": _mean_ratio(F.col("_words"), table)}
@@ -194,7 +183,7 @@ def scored(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = F.broadcast(chosen_ids(trusted_ids))  # MAX_TRUSTED ids at most
     trusted = Tables(docs.sparkSession, "quality").write(given.join(chosen, "doc_id", "left_semi"))
-    table = _table(ratios(trusted, given))
+    table = ratios(trusted, given)
     mean, spread = (
         _judged(trusted, table).where("NOT base_failed").agg(F.avg("ratio"), F.stddev_pop("ratio")).first()
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loglathe.llm.quality import BUCKETS, DEVIATIONS
+from loglathe.llm.quality import BUCKETS, DEVIATIONS, MIDDLE, PER_UNIT
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -86,7 +86,7 @@ sums AS (
   SELECT t >= {BUCKETS} AS two, sum(raw.n) + {BUCKETS} AS r, sum(coalesce(target.n, 0)) + {BUCKETS} AS g
   FROM raw LEFT JOIN target USING (t) GROUP BY ALL
 ), weights AS (
-  SELECT t, round(ln((coalesce(target.n, 0) + 1) / g) - ln((raw.n + 1) / r), 6) AS x
+  SELECT t, least(greatest(floor((ln((coalesce(target.n, 0) + 1) / g) - ln((raw.n + 1) / r)) * {PER_UNIT} + 0.5), -{MIDDLE}), {MIDDLE} - 1) / {PER_UNIT} AS x
   FROM raw LEFT JOIN target USING (t) JOIN sums ON two = (t >= {BUCKETS})
 ), ratios AS (
   SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(x, 0) AS ratio
