@@ -19,9 +19,10 @@ LENGTH = 50
 GRAM = 20
 _SPREAD = LENGTH - GRAM + 1  # grams in a string
 _WIDEST = LENGTH + _SPREAD - 1  # bytes of the strings of one sampled position
-#: Bytes that are sampled at a time, and text bytes for which there is a part of the work of its own.
+#: Bytes that are sampled at a time, bytes of which the sampled positions are held, runs whose strings are.
 SLICE = 1 << 19
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 23
+_TOGETHER = 1 << 12
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -262,9 +263,9 @@ def _compared(parts: int):
         names = np.diff(np.concatenate([name[first], [name[-1] + 1]]))
         several = np.repeat(names > 1, np.diff(np.concatenate([first, [len(gram)]])))
         rest = np.flatnonzero(several & ~again)
-        for at in range(0, len(rest), 1 << 16):  # whole grams at a time
+        for at in range(0, len(rest), _TOGETHER):  # whole grams at a time
             low = np.searchsorted(gram[rest], gram[rest[at]], "left") if at else 0
-            high = np.searchsorted(gram[rest], gram[rest[min(at + (1 << 16), len(rest)) - 1]], "right")
+            high = np.searchsorted(gram[rest], gram[rest[min(at + (_TOGETHER), len(rest)) - 1]], "right")
             if at and low < at:
                 low = np.searchsorted(gram[rest], gram[rest[at - 1]], "right")
             own = rest[low:high]
@@ -300,14 +301,14 @@ _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 def _cut_out(texts: pa.Table, spans: pa.Table) -> pa.Table:
     data, offsets = text_bytes(texts["text"])
     ids, tags = texts["doc_id"].to_numpy(), texts["tag"].to_numpy()
-    change = np.zeros(len(data) + 1, np.int64)
+    change = np.zeros(len(data) + 1, np.int32)
     main = _rows_of(ids, tags, ids, tags.astype("<u2")) if len(ids) else np.zeros(0, np.int64)
     if spans.num_rows and len(ids):
         doc, tag, start, size = _read(spans["blob"].to_pylist(), _SPAN)
         low = offsets[_rows_of(ids, tags, doc, tag)] + start
         np.add.at(change, low, 1)
         np.add.at(change, low + size, -1)
-    gone = np.cumsum(change)[:-1] > 0
+    gone = np.cumsum(change, out=change)[:-1] > 0
     removed, kept = [], []
     for r in main:
         a, b = offsets[r], offsets[r + 1]
