@@ -265,7 +265,7 @@ def _compared(parts: int):
         rest = np.flatnonzero(several & ~again)
         for at in range(0, len(rest), _TOGETHER):  # whole grams at a time
             low = np.searchsorted(gram[rest], gram[rest[at]], "left") if at else 0
-            high = np.searchsorted(gram[rest], gram[rest[min(at + (_TOGETHER), len(rest)) - 1]], "right")
+            high = np.searchsorted(gram[rest], gram[rest[min(at + _TOGETHER, len(rest)) - 1]], "right")
             if at and low < at:
                 low = np.searchsorted(gram[rest], gram[rest[at - 1]], "right")
             own = rest[low:high]
