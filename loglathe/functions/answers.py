@@ -40,16 +40,20 @@ MISSING_DEFAULTS = {
 }
 
 
-def _strict_object(text: Column) -> Column:
-    """The text as a JSON object, or null.
+def is_one_value(text: Column) -> Column:
+    """Whether the text is a single JSON value.
 
     The parser stops after the first value and ignores what follows.  Putting the text into an array shows whether
     it is one value: a text that closes the array early gives the same length in both forms, a single value 1 and 2.
     """
-    one_value = (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & (
+    return (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & (
         F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
     )
-    return F.when(text.startswith("{") & one_value, F.try_parse_json(text))
+
+
+def _strict_object(text: Column) -> Column:
+    """The text as a JSON object, or null."""
+    return F.when(text.startswith("{") & is_one_value(text), F.try_parse_json(text))
 
 
 def extract_json(text: Column) -> Column:

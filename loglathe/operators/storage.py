@@ -18,7 +18,8 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loglathe-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -44,3 +45,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that a job wrote itself."""
     system, hadoop_path = _file_system(spark, path)
     system.delete(hadoop_path, True)
+
+
+def encoded_path(spark: SparkSession, path: str) -> str:
+    """The path part of a full name, encoded as in the names of files that are read."""
+    system, hadoop_path = _file_system(spark, path)
+    return system.makeQualified(hadoop_path).toUri().getRawPath()
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, none if there is no such folder."""
+    system, hadoop_path = _file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(hadoop_path)] if system.exists(hadoop_path) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, hadoop_path = _file_system(spark, path)
+    system.mkdirs(hadoop_path)

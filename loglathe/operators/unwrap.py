@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.answers import is_one_value
 from ..functions.text import strip
 
 # Line boundaries of Unicode text; carriage return plus line feed is one boundary.
@@ -11,10 +12,13 @@ LINE_BREAKS = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def envelope_records(text: Column) -> Column:
-    """Records of a ``{"Records": [...]}`` text as compact JSON texts; null when it is no such envelope."""
+    """Records of a ``{"Records": [...]}`` text as compact JSON texts; null when it is no such envelope.
+
+    A text with anything after the first value, such as several envelopes, is none: its lines are kept instead.
+    """
     trimmed = strip(text)
     return F.when(
-        trimmed.startswith("{") & trimmed.contains('"Records"'),
+        trimmed.startswith("{") & trimmed.contains('"Records"') & is_one_value(trimmed),
         F.from_json(trimmed, "Records ARRAY<STRING>")["Records"],
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import event_hash, iso_timestamp, strip
 from ..operators.assembly import assemble
@@ -60,14 +60,19 @@ def _heal_rules(found: DataFrame, ingest_ts: str | Column | None) -> DataFrame:
 def parse_batch(
     lines: DataFrame, hints: DataFrame, ingest_ts: str | Column | None = None, key: str = "line_id"
 ) -> DataFrame:
-    """Lines paired with given hints (``key, format``); it is an error when one side has a key the other lacks.
+    """Lines paired with given hints (``key, format``), one to one.
 
-    The pairing is checked inside the plan: a full join keeps unmatched keys, and each of them fails the job.
+    The pairing is checked inside the plan: a full join keeps unmatched keys, and each of them fails the job, as does a
+    key that either side has twice.
     """
     paired = lines.join(hints.select(key, F.col("format").alias("format_hint")), key, "full")
     check = F.when(
         F.col("raw").isNull() | F.col("format_hint").isNull(),
         F.raise_error(F.concat(F.lit("parse_batch: lines and hints must pair; unpaired key "), F.col(key))),
     ).otherwise(F.col("raw"))
+    check = F.when(
+        F.count("*").over(Window.partitionBy(key)) > 1,
+        F.raise_error(F.concat(F.lit("parse_batch: lines and hints must pair; repeated key "), F.col(key))),
+    ).otherwise(check)
     checked = paired.withColumn("raw", check)
     return _heal_rules(with_rule_fields(checked.withColumn("sample", strip(F.col("raw")))), ingest_ts)

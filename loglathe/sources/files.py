@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import detect as d, fixed
 from ..functions.text import strip
-from ..operators.storage import use_checkpoint_dir
+from ..operators.storage import encoded_path, use_checkpoint_dir
 from ..operators.unwrap import object_lines, split_text
 
 _METADATA = {"file_path": "file_path", "block_start": "file_block_start"}
@@ -89,8 +89,9 @@ def _prefix_root(path: str, prefix: str) -> tuple[str, str]:
 def _with_prefix(df: DataFrame, root: str, prefix: str) -> DataFrame:
     if not prefix:
         return df
-    tail = F.substring_index(F.col("file_path"), root.split("://")[-1].rstrip("/") + "/", -1)
-    return df.where(tail.startswith(prefix))
+    # paths of files are encoded and name the whole root, so the prefix is brought into that form
+    start = encoded_path(df.sparkSession, f"{root}/{prefix}")
+    return df.where(F.regexp_replace("file_path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", "").startswith(start))
 
 
 def read_objects(
