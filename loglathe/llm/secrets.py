@@ -120,14 +120,17 @@ def _tested(run: Column) -> Column:
         wanted = 2 * high * (n - high) / n + 1
         spread = F.sqrt(F.greatest((wanted - 1) * (wanted - 2) / (n - 1), F.lit(0.25)))
         runs = (turns + 1 - wanted) / spread
-        mean = F.aggregate(codes, F.lit(0.0), lambda s, v: s + v) / n
-        power = F.aggregate(codes, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-        pairs = F.aggregate(
-            F.sequence(F.lit(1), F.size(codes) - 1),
-            F.lit(0.0),
-            lambda s, i: s + (F.get(codes, i) - mean) * (F.get(codes, i - 1) - mean),
-        )
-        serial = (pairs / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+
+        def correlation(mean: Column) -> Column:
+            power = F.aggregate(codes, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+            pairs = F.aggregate(
+                F.sequence(F.lit(1), F.size(codes) - 1),
+                F.lit(0.0),
+                lambda s, i: s + (F.get(codes, i) - mean) * (F.get(codes, i - 1) - mean),
+            )
+            return (pairs / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
+
+        serial = bound(F.aggregate(codes, F.lit(0.0), lambda s, v: s + v) / n, correlation)
         least = F.least(_tail(-chi), 2 * _tail(-F.abs(runs)), 2 * _tail(-F.abs(serial)))
         return F.struct(
             n.cast("int").alias("n"),
@@ -222,10 +225,12 @@ def secret_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row, ``base`` and ``spans``: arrays of ``start, kind, stop`` in code points.
 
     ``kind`` is the index in ``KINDS``; ``base`` has the known shapes, ``spans`` also the random strings.  One scan of
-    the texts writes what was found, without the texts; the levels (see ``Levels``) and the result come from that table.  A null or empty text has no spans, repeated rows have theirs each, and an
+    the texts writes what was found, without the texts unless kept; the levels (see ``Levels``) and the result come from that table.  A null or empty text has no spans, repeated rows have theirs each, and an
     empty table gives an empty one.
     """
-    table = Tables(docs.sparkSession, "secrets").write(_scanned(docs.select(*keep, "text")).drop("text"))
+    table = Tables(docs.sparkSession, "secrets").write(
+        _scanned(docs.select(*(c for c in keep if c != "text"), "text")).select(*keep, "_base", "_runs")
+    )
     levels = Levels(table.select(F.explode("_runs").alias("r")).select("r.*"))
     return table.select(*keep, F.col("_base").alias("base"), _all_spans(levels).alias("spans"))
 
