@@ -41,34 +41,35 @@ def words(text: Column) -> Column:
 def _repeated(all_words: Column) -> Column:
     """Words that lie in a three-word window which the text has twice or more."""
     windows = bound(
-        all_words,
-        lambda w: F.when(
-            F.size(w) >= 3,
-            F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])),
+        F.transform(all_words, lambda w: F.xxhash64(w)),
+        lambda u: F.when(
+            F.size(u) >= 3,
+            F.transform(F.slice(u, F.lit(3), F.size(u)), lambda z, i: F.xxhash64(F.get(u, i), F.get(u, i + 1), z)),
         ).otherwise(F.array().cast("array<bigint>")),
     )
 
-    def hits(ordered: Column, key) -> Column:
-        return bound(
-            ordered,
-            lambda s: F.filter(
-                s,
-                lambda x, i: ((i > 0) & (key(F.get(s, i - 1)) == key(x)))
-                | ((i < F.size(s) - 1) & (key(F.get(s, i + 1)) == key(x))),
-            ),
-        )
-
     def covered(hashes: Column) -> Column:
         # place and hash in one number sort fastest; a text with more windows than places has pairs sorted
         packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long"))))
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+        def equal_neighbours(ordered: Column, same) -> Column:
+            return bound(
+                ordered,
+                lambda s: F.flatten(
+                    F.array_compact(
+                        F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.when(same(x, y), F.array(x, y)))
+                    )
+                ),
+            )
+
         places = F.when(
             F.size(hashes) < 1 << PLACE_BITS,
             F.transform(
-                hits(packed, lambda x: F.shiftright(x, PLACE_BITS)),
+                equal_neighbours(packed, lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0),
                 lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int"),
             ),
-        ).otherwise(F.transform(hits(pairs, lambda x: x["h"]), lambda x: x["i"]))
+        ).otherwise(F.transform(equal_neighbours(pairs, lambda x, y: x["h"] == y["h"]), lambda x: x["i"]))
         return F.size(F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(x, x + 1, x + 2)))))
 
     return bound(
@@ -93,40 +94,48 @@ def base_columns(text: Column, all_words: Column) -> dict[str, Column]:
     }
 
 
-def codes(all_words: Column) -> Column:
-    return F.transform(all_words, lambda w: F.crc32(w))
+def _one(code: Column) -> Column:
+    """Bucket of a one-word term; codes are not negative, so this is the remainder."""
+    return code.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
-def terms(all_words: Column) -> Column:
-    """Buckets of a text's one-word and two-word terms, one after the other; null after the last word."""
-    return bound(
-        codes(all_words),
-        lambda u: F.concat(
-            F.transform(u, lambda x: x % BUCKETS), F.transform(u, lambda x, i: (x * 31 + F.get(u, i + 1)) % BUCKETS + BUCKETS)
-        ),
-    )
+def _two(code: Column, following: Column) -> Column:
+    return _one(code * 31 + following) + BUCKETS
 
 
 def _mean_ratio(all_words: Column, table: bytes) -> Column:
-    """Mean of the table's values over a text's terms, 0 for a text without words."""
-    levels = F.array(*(F.lit((n - MIDDLE) / PER_UNIT) for n in range(2 * MIDDLE)))
-
-    def value(bucket: Column) -> Column:
-        return F.get(levels, F.ascii(F.substring(F.lit(table), bucket.cast("int") + 1, F.lit(1)).cast("string")))
-
-    def total(u: Column) -> Column:
-        both = F.concat(
-            F.transform(u, lambda x: x % BUCKETS),
-            F.transform(F.slice(u, F.lit(2), F.size(u)), lambda x, i: (F.get(u, i) * 31 + x) % BUCKETS + BUCKETS),
+    """Mean of the table's values over a text's one-word and two-word terms, 0 for a text without words."""
+    # one constant of the plan: the optimizer folds it
+    levels = F.split(F.lit(",".join(str(x) for x in table)), ",").cast("array<bigint>")
+    none = F.lit(0).cast("long")
+
+    def mean(u: Column) -> Column:
+        own = F.zip_with(
+            u,
+            F.slice(u, F.lit(2), F.size(u)),
+            lambda x, y: F.get(levels, _one(x)) + F.coalesce(F.get(levels, _two(x, y)), none),
         )
-        return F.aggregate(both, F.lit(0.0), lambda s, t: s + value(t)) / (2 * F.size(u) - 1)
+        n = 2 * F.size(u) - 1
+        return (F.aggregate(own, none, lambda s, x: s + x) - MIDDLE * n) / F.lit(float(PER_UNIT)) / n
 
-    return bound(codes(all_words), lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(total(u)))
+    codes = F.transform(all_words, lambda w: F.crc32(w))
+    return bound(codes, lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(mean(u)))
 
 
 def _counts(texts: DataFrame) -> dict[int, int]:
-    """Terms in each bucket; at most ``2 * BUCKETS`` rows come to the driver."""
-    found = texts.select(F.explode(terms(words(F.col("text")))).alias("term")).groupBy("term").count().where("term IS NOT NULL")
+    """One-word and two-word terms in each bucket; at most ``2 * BUCKETS`` rows come to the driver.
+
+    Every word is a row beside the one after it, so the counting is generated code and not a loop over arrays.
+    """
+    split = texts.select(words(F.col("text")).alias("w"))
+    pairs = split.select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))))
+    coded = pairs.select(F.crc32("a").alias("a"), F.crc32("b").alias("b"))
+    found = (
+        coded.select(F.explode(F.array(_one(F.col("a")), _two(F.col("a"), F.col("b")))).alias("term"))
+        .where("term IS NOT NULL")
+        .groupBy("term")
+        .count()
+    )
     return {r["term"]: r["count"] for r in found.collect()}
 
 
