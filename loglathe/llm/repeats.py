@@ -181,12 +181,12 @@ def _by_part(step):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
         for batch in batches:
-            for now, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+            for now, blob in zip(batch.column("part").to_pylist(), batch.column("blob")):
                 if part is not None and now != part:
                     yield from step(held)
                     held = []
                 part = now
-                held.append(blob)
+                held.append(blob.as_py())  # copied only while its part is at work
         if held:
             yield from step(held)
 
@@ -248,9 +248,9 @@ def _compared(parts: int):
         gram, doc, tag, start, count, content = _read(blobs, (*_ENTRY, f"V{_WIDEST}"))
         words = np.ascontiguousarray(np.pad(content, ((0, 0), (0, -_WIDEST % 8)))).view(">u8").astype(np.uint64)
         order = np.lexsort((doc, *words.T[::-1], count, gram))
-        gram, doc, tag, start, count, content, words = (
-            c[order] for c in (gram, doc, tag, start, count, content, words)
-        )
+        gram, doc, tag, start, count = (c[order] for c in (gram, doc, tag, start, count))
+        content = content[order]
+        words = words[order]
         fresh = np.concatenate(
             [[True], (gram[1:] != gram[:-1]) | (count[1:] != count[:-1]) | (words[1:] != words[:-1]).any(axis=1)]
         )
@@ -348,7 +348,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     tables = Tables(spark, "repeats")
-    parts = _prime(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = _prime(2 * tasks)
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
@@ -357,13 +358,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     unlike = named.groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("unlike")).where("unlike").limit(1).count()
     # texts of one document are told apart by a tag, if there are any
     tagged = named.withColumn("tag", F.expr("CAST(pmod(xxhash64(text), 65536) AS INT)") if unlike else F.lit(0))
+
+    def by_part(blobs: DataFrame) -> DataFrame:
+        # a stated number, because merged partitions come to Python as one batch of all their blobs
+        return blobs.repartition(tasks, "part").sortWithinPartitions("part")
+
     first = tables.write(tagged.mapInArrow(_sample(parts), _BLOBS))
     asked = tables.write(
-        first.where("kind = 0").repartition("part").sortWithinPartitions("part").mapInArrow(_by_part(_wanted(parts)), _BLOBS)
+        by_part(first.where("kind = 0")).mapInArrow(_by_part(_wanted(parts)), _BLOBS)
     )
     texts = tagged.withColumn("part", F.expr(f"CAST(pmod(doc_id, {parts}) AS INT)"))
     found = texts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_fetched(parts), _BLOBS)
-    answers = found.repartition("part").sortWithinPartitions("part").mapInArrow(_by_part(_compared(parts)), _BLOBS)
+    answers = by_part(found).mapInArrow(_by_part(_compared(parts)), _BLOBS)
     spans = answers.unionByName(first.where("kind = 1"))
     done = texts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut_out, _RESULT)
     rest = given.where("doc_id IS NULL").select(
