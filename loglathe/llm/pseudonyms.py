@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from loglathe.llm.quality import bound
 from loglathe.llm.secrets import placed
+from loglathe.operators.once import evaluate_once
 
 KINDS = ["email", "date", "ip", "ssn", "phone", "card"]
 PATTERNS = [
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])",
+    r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?!(?!T(?![A-Za-z]))[0-9A-Za-z/-])",
     r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])",
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
-    r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    # a whole run of groups of digits: which of its groups are a card's is decided afterwards
+    r"(?<![0-9A-Za-z.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+",
 ]
+#: Digits of a card number, and how cards are usually written.
+CARD_DIGITS = (13, 19)
+USUAL_CARD = r"^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 #: Rounds of the Feistel networks.
 ROUNDS = 6
 #: Days from 1900-01-01 on that dates are permuted among, to 2099-12-31, as a product of two numbers.
@@ -193,22 +198,107 @@ def _pseudonym(hit: Column, kind: int, key: str) -> Column:
     return _refilled(hit, whole)
 
 
-def _replaced(hit: Column, key: str) -> Column:
-    """``kind, text``: what takes the hit's place; kind -1 and the hit itself if it is none of the valid ones."""
-    none = F.struct(F.lit(-1).alias("kind"), hit.alias("text"))
-    out = none
-    for kind in reversed(range(len(KINDS))):
-        one = F.struct(F.lit(kind).alias("kind"), _pseudonym(hit, kind, key).alias("text"))
-        # look-arounds of a pattern hold at the ends of the text too
-        out = F.when(hit.rlike(f"^(?:{PATTERNS[kind]})$"), F.when(_valid(hit, kind), one).otherwise(none)).otherwise(out)
+_HITS = "array<struct<start:int,stop:int,hit:string,kind:int>>"
+
+
+def _found(text: Column, kind: int) -> Column:
+    """``start, stop, hit, kind`` of the valid ones of a kind other than cards."""
+    return F.transform(
+        placed(text, PATTERNS[kind], lambda hit: _valid(hit, kind)),
+        lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["hit"].alias("hit"), F.lit(kind).alias("kind")),
+    ).cast(_HITS)
+
+
+def _cards(text: Column) -> Column:
+    """All readings as a card with a right check digit: neighbouring whole groups of a run, 13 to 19 digits together."""
+    kind = KINDS.index("card")
+
+    def groups(run: Column) -> Column:
+        return bound(
+            F.split(run["hit"], ""),
+            lambda chars: F.struct(
+                chars.alias("chars"),
+                F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: _is_digit(F.get(chars, i)) & ~_is_digit(F.get(chars, i - 1))).alias("starts"),
+                F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: _is_digit(F.get(chars, i - 1)) & ~_is_digit(F.get(chars, i))).alias("stops"),
+            ),
+        )
+
+    def readings(run: Column, g: Column) -> Column:
+        def ending(i: Column, j: Column) -> Column:
+            # one character stands between two groups
+            return F.get(g["stops"], j) - F.get(g["starts"], i) - (j - i)
+
+        def of(i: Column) -> Column:
+            last = F.least(i + CARD_DIGITS[1] - 1, F.size(g["starts"]) - 1)
+            fitting = F.filter(F.sequence(i, last), lambda j: ending(i, j).between(*CARD_DIGITS))
+            return F.transform(
+                fitting,
+                lambda j: F.struct(
+                    (run["start"] + F.get(g["starts"], i)).alias("start"),
+                    (run["start"] + F.get(g["stops"], j)).alias("stop"),
+                    F.array_join(F.slice(g["chars"], F.get(g["starts"], i) + 1, F.get(g["stops"], j) - F.get(g["starts"], i)), "").alias("hit"),
+                    F.lit(kind).alias("kind"),
+                ),
+            )
+
+        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g["starts"]) - 1), of))
+        return F.filter(every, lambda x: _valid(x["hit"], kind))
+
+    runs = placed(text, PATTERNS[kind])
+    return F.flatten(F.transform(runs, lambda run: bound(groups(run), lambda g: readings(run, g)))).cast(_HITS)
+
+
+def _is_digit(c: Column) -> Column:
+    return F.coalesce(c.between("0", "9"), F.lit(False))
+
+
+def _apart(hits: Column) -> Column:
+    """Of hits that overlap the leftmost, and of those the longest."""
+    none = F.array().cast(_HITS)
+
+    def add(s: Column, x: Column) -> Column:
+        taken = F.struct(F.concat(s["hits"], F.array(F.struct(x["start"].alias("start"), (-x["less"]).alias("stop"), x["hit"].alias("hit"), x["kind"].alias("kind"))).cast(_HITS)).alias("hits"), (-x["less"]).alias("at"))
+        return F.when(x["start"] >= s["at"], taken).otherwise(s)
+
+    ordered = F.sort_array(
+        F.transform(hits, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("less"), x["hit"].alias("hit"), x["kind"].alias("kind")))
+    )
+    return F.when(F.size(hits) < 2, hits).otherwise(F.aggregate(ordered, F.struct(none.alias("hits"), F.lit(0).alias("at")), add)["hits"])
+
+
+def _with_found(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_found``: the valid ones of all kinds, by start, none overlapping.
+
+    Each kind is looked for on its own.  Where valid ones overlap, a kind further up goes first: addresses, dates, IPs
+    and social security numbers, cards as they are usually written, telephone numbers, other readings as a card.
+    """
+    text, none = F.col("text").cast("string"), F.array().cast(_HITS)
+    own = {f"_{name}": _found(text, k) for k, name in enumerate(KINDS) if name != "card"} | {"_card": _cards(text)}
+    gated = {name: F.when(text.rlike("[0-9@]"), hits).otherwise(none) for name, hits in own.items()}
+    usual = F.filter("_card", lambda x: x["hit"].rlike(USUAL_CARD))
+    other = F.filter("_card", lambda x: ~x["hit"].rlike(USUAL_CARD))
+    out = evaluate_once(docs, gated)
+    for layer in (F.col("_date"), F.col("_ip"), F.col("_ssn"), usual, F.col("_phone"), other):
+        kept = F.col("_found") if "_found" in out.columns else F.col("_email")
+        free = F.filter(layer, lambda x: ~F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"])))
+        out = evaluate_once(out, {"_found": F.when(F.size(layer) == 0, kept).otherwise(F.concat(kept, bound(free, _apart)))})
+    return out.withColumn("_found", F.sort_array("_found")).drop(*own)
+
+
+def _replaced(hit: Column, kind: Column, key: str) -> Column:
+    """What takes the hit's place."""
+    out = hit
+    for k in range(len(KINDS)):
+        out = F.when(kind == k, _pseudonym(hit, k, key)).otherwise(out)
     return out
 
 
 def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` pseudonymized and ``n_<kind>`` for each of ``KINDS``: how many were replaced.
 
-    Found, leftmost first: e-mail addresses, dates of the calendar (ISO, month/day/year, day.month.year), IPv4 addresses,
-    social security numbers, telephone numbers, card numbers with a right check digit.  Each is permuted within its
+    Found, each kind on its own: e-mail addresses, dates of the calendar (ISO, also before a time, month/day/year,
+    day.month.year), IPv4 addresses, social security numbers, telephone numbers, card numbers with a right check digit,
+    also between other groups of digits.  Of valid ones that overlap one is taken.  Each is permuted within its
     format by a Feistel network under ``key``: equal values have equal pseudonyms in all documents, different ones
     different ones, dates stay dates, check digits stay right.  Of an e-mail address the user part is permuted, in lower
     case.  What only looks like one (a wrong check digit, a 31st of February) stays.
@@ -217,21 +307,19 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     stay; columns of the same names are replaced; ``n_chars``, if there, is counted anew.
     """
     text = F.col("text").cast("string")
-    any_of = "|".join(f"(?:{p})" for p in PATTERNS)
-    found = F.when(text.rlike("[0-9@]"), placed(text, any_of)).otherwise(
-        F.array().cast("array<struct<start:int,stop:int,hit:string>>")
-    )
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s: Column, x: Column) -> Column:
         gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        return F.struct(F.concat(s["out"], gap, x["new"]["text"]).alias("out"), x["stop"].alias("at"))
+        return F.struct(F.concat(s["out"], gap, x["new"]).alias("out"), x["stop"].alias("at"))
 
-    marked = docs.withColumn("_found", found).withColumn(
+    marked = _with_found(docs).withColumn(
         "_new",
         F.transform(
-            F.coalesce("_found", F.array().cast("array<struct<start:int,stop:int,hit:string>>")),
-            lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), _replaced(x["hit"], key).alias("new")),
+            F.coalesce("_found", F.array().cast(_HITS)),
+            lambda x: F.struct(
+                x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"), _replaced(x["hit"], x["kind"], key).alias("new")
+            ),
         ),
     )
     clean = F.when(
@@ -241,7 +329,7 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
         ),
     ).otherwise(text)
     counts = {
-        f"n_{name}": F.size(F.array_remove(F.transform("_new", lambda x: x["new"]["kind"] != F.lit(k)), True)).cast("long")
+        f"n_{name}": F.size(F.filter("_new", lambda x: x["kind"] == k)).cast("long")
         for k, name in enumerate(KINDS)
     }
     out = marked.withColumns(counts).withColumn("text", clean).drop("_found", "_new")

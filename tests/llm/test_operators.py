@@ -359,6 +359,32 @@ def test_pseudonyms(spark, docs, rows, none):
     assert keyed.select(pseudonyms.permuted_string(F.col("s"), "k", "x").alias("y")).distinct().count() == 10_000
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    card = "4515115059623864"
+    cases = {
+        f"card {card} 12/25": ("card", card),
+        f"card {card} 123": ("card", card),
+        f"card 12 {card}-7 3rd": ("card", card),
+        "card 99 4515-1150-5962-3864 001": ("card", "4515-1150-5962-3864"),
+        "no 7 4515 1150 5962 3864 7": ("card", "4515 1150 5962 3864"),
+        "id 1001 123-45-6789": ("ssn", "123-45-6789"),
+        "order 12345 2021-02-28": ("date", "2021-02-28"),
+        "at 2021-02-28T10:00:00Z": ("date", "2021-02-28"),
+        "order 12345 846-555-5432": ("phone", "846-555-5432"),
+    }
+    table = spark.createDataFrame([(t,) for t in cases] + [(card,), ("4515115059623865 1",), ("2021-02-28Tue",)], "text string")
+    got = pseudonyms.pseudonymized(table, "k").collect()
+    done = dict(zip([r["text"] for r in table.collect()], got))
+    for text, (kind, value) in cases.items():
+        assert value not in done[text]["text"] and len(done[text]["text"]) == len(text), text
+        assert {k: done[text][f"n_{k}"] for k in pseudonyms.KINDS} == {k: int(k == kind) for k in pseudonyms.KINDS}, text
+        before, after = text.split(value)
+        assert done[text]["text"].startswith(before) and done[text]["text"].endswith(after)
+    new = done[card]["text"]
+    assert done[f"card {card} 123"]["text"] == f"card {new} 123" and done[f"card {card} 12/25"]["text"] == f"card {new} 12/25"
+    assert done["4515115059623865 1"]["n_card"] == 0 and done["2021-02-28Tue"]["n_date"] == 0
+
+
 def test_pipeline_stages(spark, docs, none, tmp_path):
     import corpus_pipeline
 
