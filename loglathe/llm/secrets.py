@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,14 @@ FALSE_SHARE = 0.05
 TURNED_AWAY = 0.001
 #: Bins to a power of ten in which chances are counted.
 BINS = 20
-#: How often two, and three, letters of ordinary text are equal: used for lengths of which the corpus has too few runs.
-ORDINARY = (0.065, 0.0055)
-#: Ordinary runs of a length class from which its own figures are used.
+#: Shares of the letters a-z in ordinary text; count as so many runs (``ENOUGH``) beside the corpus's own.
+ORDINARY = [
+    0.0817, 0.0149, 0.0278, 0.0425, 0.1270, 0.0223, 0.0202, 0.0609, 0.0697, 0.0015, 0.0077, 0.0403, 0.0241,
+    0.0675, 0.0751, 0.0193, 0.0010, 0.0599, 0.0633, 0.0906, 0.0276, 0.0098, 0.0236, 0.0015, 0.0197, 0.0007,
+]
 ENOUGH = 100
+#: Share of the ordinary runs that may seem less likely than that share.
+STRAY = 0.01
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings a string may be in, narrowest first: what it must match and its alphabet.
@@ -87,8 +93,31 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
+def _letter_counts(run: Column) -> Column:
+    low = F.lower(run)
+    return F.transform(
+        F.array(*map(F.lit, _LOWER)), lambda c: F.length(low) - F.length(F.replace(low, c, F.lit("")))
+    )
+
+
+def _gain(run: Column) -> Column:
+    letters = F.length(F.regexp_replace(run, "[^A-Za-z]", ""))
+    digits = F.length(F.regexp_replace(run, "[^0-9]", ""))
+    gain = F.lit(0.0)
+    for pattern, alphabet in reversed(ENCODINGS):
+        own_letters = len({c for c in alphabet.lower() if c in _LOWER})
+        own_digits = sum(c in _DIGITS for c in alphabet)
+        gain = F.when(
+            run.rlike(pattern), letters * math.log(26 / own_letters) + digits * math.log(10 / own_digits)
+        ).otherwise(gain)
+    return gain
+
+
 def _tested(run: Column) -> Column:
-    """Of a run of letters: ``n``, ``same`` (how often two of its letters are equal) and ``random``.
+    """Of a run of letters: ``n``, ``counts`` of a-z in either case, what the encoding adds (``gain``), and ``random``.
+
+    ``gain``: logarithm of how much likelier the uniform string is than an ordinary one to have such digits and letters
+    as fit the encoding, counting a letter as one of 26 and leaving its own share in ordinary text aside.
 
     ``random``: none of three tests turns it away as a uniform string over its encoding's alphabet: chi-squared of the
     letter counts, number of runs above and below the middle of the alphabet, serial correlation of neighbours.
@@ -134,7 +163,8 @@ def _tested(run: Column) -> Column:
         least = F.least(_tail(-chi), 2 * _tail(-F.abs(runs)), 2 * _tail(-F.abs(serial)))
         return F.struct(
             n.cast("int").alias("n"),
-            ((squares - n) / (n * (n - 1))).alias("same"),
+            _letter_counts(run).alias("counts"),
+            _gain(run).alias("gain"),
             (3 * least >= TURNED_AWAY).alias("random"),
         )
 
@@ -164,31 +194,38 @@ def _scanned(docs: DataFrame) -> DataFrame:
     ).drop("_found")
 
 
-def _length_class(n: Column) -> Column:
-    return F.least(F.floor(F.log2(n.cast("double")) * 2).cast("int"), F.lit(14))
-
-
 class Levels:
-    """What the whole corpus says: ordinary long words by length, and the chance up to which strings are reported.
-
-    Ordinary are the long runs in one case without digits.  A mixed one's chance is that of an ordinary run of its
-    length having as few equal letters.  Long strings weigh more, by length against the mean.  Among all mixed
-    runs, chances are then cut so that at most ``FALSE_SHARE`` of the reported are expected to be ordinary.  Both
-    tables are small: a row for a length class, a row for a bin.
+    """What the whole corpus says: the letters of ordinary long words, and the chance up to which strings are reported.
+
+    Ordinary are the long runs in one case without digits.  A mixed one's chance is how much likelier it is as an
+    ordinary string than as a uniform one over its inferred encoding, given which of its places are letters and digits:
+    an ordinary string has a chance of at most x with a probability of at most x.  As ordinary letters depend on each
+    other, the logarithms are divided by what keeps all but ``STRAY`` of the ordinary runs to that.  Long strings weigh
+    more, by length against the mean.  Among all mixed runs, chances are then cut so that at most ``FALSE_SHARE`` of the
+    reported are expected to be ordinary.  What is collected is small: a row of shares, and a row for each bin.
     """
 
     def __init__(self, runs: DataFrame) -> None:
-        own = runs.select("mixed", F.col("test.n").alias("n"), F.col("test.same").alias("same"), F.col("test.random").alias("random"))
-        classes = (
-            own.where("NOT mixed")
-            .groupBy(_length_class(F.col("n")).alias("c"))
-            .agg(F.count("*").alias("n"), F.avg("same").alias("mean"), F.stddev_pop("same").alias("spread"))
-            .collect()
-        )
-        self.classes = {r["c"]: (r["mean"], r["spread"]) for r in classes if r["n"] >= ENOUGH and r["spread"] > 0}
+        own = runs.select("mixed", "test.*")
+        plain = own.where("NOT mixed").withColumn("all", F.aggregate("counts", F.lit(0), lambda s, c: s + c)).where("all > 0")
+        # whole numbers: sums don't depend on the order of rows
+        shares = [F.sum(F.floor(1e6 * F.get("counts", F.lit(i)) / F.col("all"))) for i in range(26)]
+        ordinary, *sums = plain.agg(F.count("*"), *shares).first()
+        total_share = ordinary + ENOUGH * sum(ORDINARY)
+        self.weights = [math.log(total_share / (26 * ((x or 0) / 1e6 + ENOUGH * y))) for x, y in zip(sums, ORDINARY)]
+        self.divisor = 1.0
+        if ordinary >= ENOUGH:
+            level = F.least(F.floor(self.evidence(F.col("counts"), F.lit(0.0)) * BINS), F.lit(1000 * BINS))
+            levels = plain.where("random").groupBy(level.alias("level")).count().where("level > 0").collect()
+            above = 0
+            for r in sorted(levels, key=lambda r: -r["level"]):
+                above += r["count"]
+                if above > STRAY * ordinary:
+                    self.divisor = max(1.0, (r["level"] + 1) / BINS / -math.log(STRAY))
+                    break
         total, mean = own.where("mixed").agg(F.count("*"), F.avg("n")).first()
         self.mean_length = mean or 1.0
-        bins = own.where("mixed AND random").groupBy(self.bin(F.col("n"), F.col("same")).alias("bin")).count().collect()
+        bins = own.where("mixed AND random").groupBy(self.bin(F.struct("n", "counts", "gain")).alias("bin")).count().collect()
         counts = {r["bin"]: r["count"] for r in bins}
         self.lowest_bin = None
         reached = 0
@@ -197,20 +234,20 @@ class Levels:
             if reached and 10 ** (-b / BINS) * total <= FALSE_SHARE * reached:
                 self.lowest_bin = b
 
-    def bin(self, n: Column, same: Column) -> Column:
-        two, three = ORDINARY
-        mean = F.lit(two)
-        spread = F.sqrt(4 * (three - two * two) / n + 2 * two * (1 - two) / (n * (n - 1)))
-        for c, (m, s) in self.classes.items():
-            mean = F.when(_length_class(n) == c, F.lit(m)).otherwise(mean)
-            spread = F.when(_length_class(n) == c, F.lit(s)).otherwise(spread)
-        chance = _tail((same - mean) / spread) * self.mean_length / n
-        return F.least(F.floor(-F.log10(F.least(chance, F.lit(1.0))) * BINS), F.lit(100 * BINS)).cast("int")
+    def evidence(self, counts: Column, gain: Column) -> Column:
+        """Logarithm of the likelihood as a uniform string over that as an ordinary one."""
+        weighed = F.zip_with(counts, F.array(*map(F.lit, self.weights)), lambda c, w: c * w)
+        return F.aggregate(weighed, gain, lambda s, x: s + x)
+
+    def bin(self, test: Column) -> Column:
+        logarithm = self.evidence(test["counts"], test["gain"]) / (self.divisor * math.log(10))
+        logarithm += F.log10(test["n"] / F.lit(self.mean_length))
+        return F.least(F.floor(F.greatest(logarithm, F.lit(0.0)) * BINS), F.lit(100 * BINS)).cast("int")
 
     def reported(self, run: Column) -> Column:
         if self.lowest_bin is None:
             return F.lit(False)
-        return run["mixed"] & run["test"]["random"] & (self.bin(run["test"]["n"], run["test"]["same"]) >= self.lowest_bin)
+        return run["mixed"] & run["test"]["random"] & (self.bin(run["test"]) >= self.lowest_bin)
 
 
 def _all_spans(levels: Levels) -> Column:

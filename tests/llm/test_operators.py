@@ -338,6 +338,19 @@ def test_secrets(spark, docs, rows, none):
     assert secrets.secret_spans(none, ["doc_id"]).count() == 0 and secrets.redacted(none).count() == 0
 
 
+def test_secrets_in_any_encoding(spark):
+    rng = random.Random(8)
+    upper, digits = string.ascii_uppercase, string.digits
+    kinds = {"hex": digits + "ABCDEF", "base-32": upper + "234567", "base-36": upper + digits}
+    made = {"".join(rng.choice(k) for _ in range(n)): (name, n) for name, k in kinds.items() for n in (64, 128) for _ in range(20)}
+    names = [f"{'_'.join(rng.choices(['MEAN', 'LENGTH', 'OF', 'WORDS', 'READER', 'Index', 'Table', 'quality'], k=4))}_{i}" for i in range(300)]
+    table = spark.createDataFrame([(f"key {x} or",) for x in [*made, *names]], "text string")
+    got = [r["text"][a:b] for r in secrets.secret_spans(table, ["text"]).collect() for a, k, b in r["spans"] if k == 3]
+    found = Counter(made[x] for x in got if x in made)
+    assert all(found[name, n] >= 18 for name in kinds for n in (64, 128)), found
+    assert sum(x not in made for x in got) <= 0.05 * len(got)
+
+
 def test_pseudonyms(spark, docs, rows, none):
     held = "4515115059623864 and 4515-1150-5962-3864, not 4515115059623865; 2021-02-28, not 2021-02-31; 123-45-6789 93.236.20.26 jo@a.org +1 (846) 555-5432"
     table = spark.createDataFrame([(1, held, 0), (2, "again jo@a.org 4515115059623864", 0), (3, None, 0), (4, "", 0)], "doc_id long, text string, n_card int")
