@@ -7,12 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglathe.llm.tables import Tables
-
 #: Buckets of one-word and of two-word terms each.
 BUCKETS = 1 << 16
-#: Trusted documents that the target multinomial and the threshold are estimated from.
-MAX_TRUSTED = 20_000
 #: Standard deviations below the trusted documents' mean ratio at which a text is rejected.
 DEVIATIONS = 5.0
 
@@ -122,40 +118,33 @@ def _mean_ratio(all_words: Column, table: bytes) -> Column:
     return bound(codes, lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(mean(u)))
 
 
-def _counts(texts: DataFrame) -> dict[int, int]:
-    """One-word and two-word terms in each bucket; at most ``2 * BUCKETS`` rows come to the driver.
+def _counts(texts: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """One-word and two-word terms in each bucket, of ``_trusted`` texts and of all; at most ``2 * BUCKETS`` rows come to
+    the driver.
 
     Every word is a row beside the one after it, so the counting is generated code and not a loop over arrays.
     """
-    split = texts.select(words(F.col("text")).alias("w"))
-    pairs = split.select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))))
-    coded = pairs.select(F.crc32("a").alias("a"), F.crc32("b").alias("b"))
+    split = texts.select("_trusted", words(F.col("text")).alias("w"))
+    pairs = split.select(
+        "_trusted", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b")))
+    )
+    coded = pairs.select("_trusted", F.crc32("a").alias("a"), F.crc32("b").alias("b"))
     found = (
-        coded.select(F.explode(F.array(_one(F.col("a")), _two(F.col("a"), F.col("b")))).alias("term"))
+        coded.select("_trusted", F.explode(F.array(_one(F.col("a")), _two(F.col("a"), F.col("b")))).alias("term"))
         .where("term IS NOT NULL")
         .groupBy("term")
-        .count()
-    )
-    return {r["term"]: r["count"] for r in found.collect()}
-
-
-def chosen_ids(trusted_ids: DataFrame) -> DataFrame:
-    """The trusted documents that stand for all: those whose id has the smallest hash, ``MAX_TRUSTED`` at most."""
-    return (
-        trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id"))
-        .where("doc_id IS NOT NULL")
-        .distinct()
-        .orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id")
-        .limit(MAX_TRUSTED)
+        .agg(F.sum(F.col("_trusted").cast("long")).alias("target"), F.count("*").alias("raw"))
+        .collect()
     )
+    return {r["term"]: r["target"] for r in found}, {r["term"]: r["raw"] for r in found}
 
 
-def ratios(trusted: DataFrame, docs: DataFrame) -> bytes:
-    """Log ratio of each term under the trusted and the raw multinomial, both with one added to every bucket.
+def ratios(texts: DataFrame) -> bytes:
+    """Log ratio of each term under the multinomial of ``_trusted`` texts and of all, both with one added to every bucket.
 
     A byte a term, in steps of ``1 / PER_UNIT``: a constant of the plan that stays small.
     """
-    target, raw = _counts(trusted), _counts(docs)
+    target, raw = _counts(texts)
     out = bytearray()
     for first in (0, BUCKETS):
         n_target = sum(target.get(first + i, 0) for i in range(BUCKETS)) + BUCKETS
@@ -181,20 +170,24 @@ def scored(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """``docs`` with the counts of ``base_columns``, ``base_failed``, ``ratio`` and ``kept``.
 
     ``base_failed``: under 50 words, or more than half of them in repeated three-word windows.  ``ratio``: mean log
-    ratio of the text's hashed one- and two-word terms under the multinomial of trusted documents (``MAX_TRUSTED`` of
-    them at most) against that of all documents; 0 for a text without words.  ``kept``: not failed, and a ratio not
-    ``DEVIATIONS`` standard deviations below the mean of the trusted documents that do not fail.  Without trusted
-    documents every text that does not fail is kept.
+    ratio of the text's hashed one- and two-word terms under the multinomial of all trusted documents against that of
+    all documents; 0 for a text without words.  ``kept``: not failed, and a ratio not ``DEVIATIONS`` standard deviations
+    below the mean of all trusted documents that do not fail.  Without trusted documents every text that does not fail is
+    kept.
 
     A null text is empty.  Rows are judged one by one: repeated rows, null ids and clashing extra columns change
-    nothing (own columns replace them); an empty table gives an empty one.  Two scans, no shuffle of texts.
+    nothing (own columns replace them); an empty table gives an empty one.  Three scans: terms, threshold over the
+    trusted, result.  Texts are shuffled to the ids of the trusted only if these are too many to broadcast.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = F.broadcast(chosen_ids(trusted_ids))  # MAX_TRUSTED ids at most
-    trusted = Tables(docs.sparkSession, "quality").write(given.join(chosen, "doc_id", "left_semi"))
-    table = ratios(trusted, given)
-    mean, spread = (
-        _judged(trusted, table).where("NOT base_failed").agg(F.avg("ratio"), F.stddev_pop("ratio")).first()
+    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    marked = given.join(ids.withColumn("_in", F.lit(True)), "doc_id", "left").select(
+        "text", F.col("_in").isNotNull().alias("_trusted")
     )
+    table = ratios(marked)
+    trusted = given.join(ids, "doc_id", "left_semi")
+    # a filter would be pushed below the projections and split the texts again
+    counted = F.when(~F.col("base_failed"), F.col("ratio"))
+    mean, spread = _judged(trusted, table).select(counted.alias("r")).agg(F.avg("r"), F.stddev_pop("r")).first()
     lowest = -math.inf if mean is None else mean - DEVIATIONS * spread
     return _judged(docs, table).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.lit(lowest)))

@@ -284,6 +284,12 @@ def test_quality_of_texts_with_more_windows_than_places(docs, monkeypatch):
     assert count() == whole
 
 
+def test_quality_learns_from_all_trusted_documents(spark):
+    # terms of trusted documents and of all are the same, so every ratio is 0
+    many = spark.range(24_000).selectExpr("id AS doc_id", "concat('w', id, ' x ', id) AS text")
+    assert quality.scored(many, many.select("doc_id")).where("ratio <> 0").count() == 0
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BUCKET_ROWS", 40)
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
