@@ -152,8 +152,9 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine | None:
     """The machine learnt from documents with ``labels (doc_id, toxic)`` whose ``doc_id`` is ``allowed``.
 
-    A bounded sample is used, ``MAX_TOXIC`` toxic and ``MAX_OTHER`` other documents.  Its ids are broadcast, so texts
-    aren't shuffled; terms are made where the texts are, and one task fits the model.  Null labels don't count, a
+    A bounded sample is used, ``MAX_TOXIC`` toxic and ``MAX_OTHER`` other documents; the bias is then set right for
+    the odds among all allowed labels, which are counted.  The sample's ids are broadcast, so texts aren't shuffled;
+    terms are made where the texts are, and one task fits the model.  Null labels don't count, a
     document with several labels is toxic if one says so.  ``None`` without any labelled document.
     """
     one = (
@@ -175,7 +176,13 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Machine | None
     )
     held = Tables(docs.sparkSession, "toxicity").write(terms)
     found = held.repartition(1).mapInArrow(_fitted, "model binary").collect()
-    return Machine.load(bytes(found[0]["model"])) if found else None
+    if not found:
+        return None
+    model = Machine.load(bytes(found[0]["model"]))
+    toxic, other = one.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first()
+    if toxic and other:
+        model.bias += float(np.log(toxic / min(toxic, MAX_TOXIC)) - np.log(other / min(other, MAX_OTHER)))
+    return model
 
 
 def _scored(raw: bytes | None):

@@ -213,6 +213,17 @@ def test_cuts_move_with_the_text():
     assert len(pieces(data) - pieces(b"inserted " + data)) <= 4
 
 
+def test_toxicity_keeps_the_odds_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 200)
+    monkeypatch.setattr(toxicity, "MAX_OTHER", 200)
+    rng = random.Random(7)
+    held = [(i, f"{'vile' if (rng.random() < 0.9) == (i % 10 == 0) else 'kind'} word{i}", int(i % 10 == 0)) for i in range(3000)]
+    table = spark.createDataFrame(held, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table, table, F.lit(True))
+    mean = toxicity.toxicity(table, model).agg(F.avg("score")).first()[0]
+    assert abs(mean - 0.1) < 0.03
+
+
 def test_packing_round_trip(docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
