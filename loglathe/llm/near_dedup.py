@@ -1,4 +1,4 @@
-"""MinHash near-duplicate removal: an LSH forest proposes families, full shingle sets decide."""
+"""MinHash near-duplicate removal: banded signatures propose families, full shingle sets decide."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from loglathe.llm.words import shingle_sets, slices, text_bytes
 
 #: Values that two signatures have to share at the start of a sorted order to be neighbours at all.
 MIN_DEPTH = 5
-#: Values by which a sorted order is sorted.  Neighbours in crowded regions agree in more of them.
+#: Values by which a sorted order is sorted; those beyond ``MIN_DEPTH`` only order the rows.
 KEY_DEPTH = 16
 #: Chance that a pair just at the threshold meets in no order.
 MISS = 1e-6
@@ -214,9 +214,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     smallest ``doc_id`` that links lead to, ``kept`` marks the document that has it.
 
     1. One pass over the texts makes each set's size, digest and MinHash signature.  Equal sets go on as one.
-    2. LSH forest: the signatures are sorted in several orders, each beginning with other values.  Neighbours with a
-       common prefix of ``MIN_DEPTH`` values or more are candidates; the sort goes on to ``KEY_DEPTH``, so the depth at
-       which documents meet follows how crowded their region is.  The global sort splits crowded regions over tasks.
+    2. Banding at one fixed depth: the signatures are sorted in several orders, each beginning with other values.  All
+       rows that agree in the first ``MIN_DEPTH`` of an order are linked to the first of them; the values up to
+       ``KEY_DEPTH`` only order them.  Depth does not grow in crowded regions, so families may chain together there and
+       cost more comparisons; the result stays exact on the candidates.  The global sort splits crowded regions over tasks.
     3. Documents that neighbours connect form a family.  Its texts meet once, in blocks of bounded size (all pairs of
        blocks of a family above that), and links are decided on the full sets.
     4. Verified links give the components.
