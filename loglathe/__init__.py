@@ -11,13 +11,16 @@ from .operators.framing import frame_chunks, frame_datagrams
 from .operators.metrics import source_counts, status_counts
 from .operators.unwrap import object_lines, split_text, unwrap_records
 from .plans.jobs import heal, parse, parse_batch
-from .plans.sinks import HashIndex, Sinks, route, run_batch, to_cef, to_ocsf
+from .plans.index import HashIndex
+from .plans.ledger import RunLedger
+from .plans.sinks import Sinks, failed_lines, retry_failed, route, run_batch, to_cef, to_ocsf
 from .sources.config import union_sources
 from .sources.files import detect_files, load_objects, new_keys, profile_files, read_lines, read_objects
 from .streaming.run import frame_chunk_stream, run_stream
 
 __all__ = [
     "HashIndex",
+    "RunLedger",
     "Sinks",
     "assemble",
     "build_prompt",
@@ -27,6 +30,7 @@ __all__ = [
     "distinct_lines",
     "extract_rules",
     "extract_with",
+    "failed_lines",
     "frame_chunk_stream",
     "frame_chunks",
     "frame_datagrams",
@@ -40,6 +44,7 @@ __all__ = [
     "profile_formats",
     "read_lines",
     "read_objects",
+    "retry_failed",
     "route",
     "run_batch",
     "run_stream",

@@ -59,6 +59,36 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in system.listStatus(hadoop_path)] if system.exists(hadoop_path) else []
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
+def file_sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names and sizes of the files directly below a folder, none if there is no such folder."""
     system, hadoop_path = _file_system(spark, path)
-    system.mkdirs(hadoop_path)
+    if not system.exists(hadoop_path):
+        return {}
+    return {f.getPath().getName(): f.getLen() for f in system.listStatus(hadoop_path) if f.isFile()}
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one of that name; of several writers one succeeds, where the store checks it."""
+    system, hadoop_path = _file_system(spark, path)
+    try:
+        out = system.create(hadoop_path, False)
+    except Exception:
+        if system.exists(hadoop_path):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """Text of a small file."""
+    system, hadoop_path = _file_system(spark, path)
+    size = system.getFileStatus(hadoop_path).getLen()
+    stream = system.open(hadoop_path)
+    try:
+        return bytes(b & 0xFF for b in stream.readNBytes(int(size))).decode()
+    finally:
+        stream.close()

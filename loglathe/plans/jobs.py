@@ -34,14 +34,19 @@ def parse(
     extractor: Extractor | None = None,
     ingest_ts: str | Column | None = None,
     json_actor: bool = False,
+    keep_error: bool = False,
     **extract_options,
 ) -> DataFrame:
     """Lines to normalized events: detect, extract, assemble, heal.
 
     Without an extractor the rules are used and the whole job is projections: no shuffle and no Python worker.
+    ``keep_error`` adds ``call_error``, why the extractor's call for the line failed, or null.  Rows without ``raw`` are
+    no lines and are left out.
     """
     if extractor is not None:
         answered = extract_with(lines.where(F.col("raw").isNotNull()), extractor, **extract_options)
+        if keep_error:
+            answered = answered.withColumn("call_error", F.col("error"))
         return heal(with_format(answered).drop("sample"), ingest_ts)
     return _heal_rules(with_rule_fields(with_format(lines), json_actor), ingest_ts)
 

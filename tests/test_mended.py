@@ -5,7 +5,7 @@ import pytest
 from loglathe import Sinks, run_batch
 from loglathe.operators.unwrap import object_lines
 from loglathe.plans.jobs import parse_batch
-from loglathe.plans.sinks import HashIndex
+from loglathe.plans.index import HashIndex
 from loglathe.sources.files import list_keys
 
 NOW = "2026-06-01T00:00:00+00:00"
