@@ -15,11 +15,21 @@ from .plans.index import HashIndex
 from .plans.ledger import RunLedger
 from .plans.sinks import Sinks, failed_lines, retry_failed, route, run_batch, to_cef, to_ocsf
 from .sources.config import union_sources
-from .sources.files import detect_files, load_objects, new_keys, profile_files, read_lines, read_objects
+from .sources.files import (
+    ProcessedKeys,
+    detect_files,
+    load_objects,
+    new_keys,
+    profile_files,
+    read_lines,
+    read_objects,
+    take_objects,
+)
 from .streaming.run import frame_chunk_stream, run_stream
 
 __all__ = [
     "HashIndex",
+    "ProcessedKeys",
     "RunLedger",
     "Sinks",
     "assemble",
@@ -51,6 +61,7 @@ __all__ = [
     "source_counts",
     "split_text",
     "status_counts",
+    "take_objects",
     "to_cef",
     "to_ocsf",
     "union_sources",

@@ -133,6 +133,7 @@ PROMPT_INSTRUCTION = "Parse the following log line and return the JSON schema:"
 # --- file detection ---------------------------------------------------------------------------------------------
 EVTX_HEAD_CHARS = 2000
 EMPTY_FILE_SAMPLE = "[empty file]"
+UNREADABLE_FILE_SAMPLE = "[error reading file: "
 
 # --- export tables ----------------------------------------------------------------------------------------------
 OCSF_VERSION = "1.0.0"

@@ -14,13 +14,22 @@ LINE_BREAKS = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
 def envelope_records(text: Column) -> Column:
     """Records of a ``{"Records": [...]}`` text as compact JSON texts; null when it is no such envelope.
 
-    A text with anything after the first value, such as several envelopes, is none: its lines are kept instead.
+    A text with anything after the first value, such as several envelopes, is none: its lines are kept instead.  Records
+    that are texts keep their quotes, a null is ``null``; objects keep the order of their keys.
     """
     trimmed = strip(text)
-    return F.when(
-        trimmed.startswith("{") & trimmed.contains('"Records"') & is_one_value(trimmed),
-        F.from_json(trimmed, "Records ARRAY<STRING>")["Records"],
-    )
+    plain = F.from_json(trimmed, "Records ARRAY<STRING>")["Records"]
+    typed = F.from_json(trimmed, "Records ARRAY<VARIANT>")["Records"]
+
+    def shown(record: Column, value: Column) -> Column:
+        return (
+            F.when(value.isNull() | F.is_variant_null(value), "null")
+            .when(F.schema_of_variant(value) == "STRING", F.to_json(value))
+            .otherwise(record)
+        )
+
+    records = F.zip_with(plain, typed, shown)
+    return F.when(trimmed.startswith("{") & trimmed.contains('"Records"') & is_one_value(trimmed), records)
 
 
 def unwrap_records(objects: DataFrame, text: str = "text") -> DataFrame:

@@ -47,12 +47,15 @@ def _check_file(block: dict) -> None:
 
 
 def _read_file(spark: SparkSession, block: dict, streaming: bool) -> DataFrame:
+    """Lines of files; ``growing`` makes a stream follow files that are appended to."""
     return read_lines(
         spark,
         block["path"],
         streaming,
         start="latest" if block.get("tail", False) else "earliest",
         start_time=block.get("start_time"),
+        encoding=block.get("encoding", "utf-8"),
+        growing=block.get("growing", False),
     )
 
 
@@ -66,7 +69,8 @@ def _read_s3(spark: SparkSession, block: dict, streaming: bool) -> DataFrame:
     bucket = block["bucket"]
     path = bucket if "/" in bucket else f"s3a://{bucket}"
     options = {"cleanSource": "delete"} if streaming and block.get("delete_after_read", False) else {}
-    return load_objects(spark, path, block.get("prefix", ""), streaming=streaming, **options)
+    encoding = block.get("encoding", "utf-8")
+    return load_objects(spark, path, block.get("prefix", ""), streaming=streaming, encoding=encoding, **options)
 
 
 def _check_syslog(block: dict) -> None:
