@@ -181,10 +181,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``msg_id, payload``: whole documents with one to three line feeds at the end, and empty datagrams."""
+    """``msg_id, payload``: whole documents with one to three line feeds at the end; for each an empty one, ``-1 - msg_id``."""
     docs = table(spark, sf_dir, "documents")
-    text = F.concat(
-        F.when(F.col("lang") == "de", F.lit("")).otherwise(F.col("text")),
-        F.repeat(F.lit("\n"), (F.col("doc_id") % 3 + 1).cast("int")),
+    feeds = F.repeat(F.lit("\n"), (F.col("doc_id") % 3 + 1).cast("int"))
+    full = docs.select(F.col("doc_id").alias("msg_id"), F.encode(F.concat("text", feeds), "utf-8").alias("payload"))
+    blank = docs.select((-1 - F.col("doc_id")).alias("msg_id"), F.encode(feeds, "utf-8").alias("payload"))
+    return full.unionByName(blank)
+
+
+def mixed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``object_id, text``: envelopes whose records are texts, and null for every seventh line."""
+    lines = _sql(spark, sf_dir, _OBJECT_LINES_SQL)
+    record = F.when(F.col("line_id") % 7 == 0, "null").otherwise(F.to_json(F.to_variant_object(F.struct("raw"))))
+    quoted = F.regexp_replace(record, r'(?s)\A\{"raw":(.*)\}\z', "$1")
+    listed = lines.select("object_id", F.struct("line_id", quoted.alias("r")).alias("l")).groupBy("object_id").agg(
+        F.array_sort(F.collect_list("l")).alias("ls")
     )
-    return docs.select(F.col("doc_id").alias("msg_id"), F.encode(text, "utf-8").alias("payload"))
+    inner = F.array_join(F.transform("ls", lambda x: x["r"]), ", ")
+    return listed.select("object_id", F.concat(F.lit('{"Records" : ['), inner, F.lit("]}")).alias("text"))

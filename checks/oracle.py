@@ -527,14 +527,32 @@ def sql() -> dict[str, str]:
     over("w6_json_lines", [*EVENTS, FIRST], f"SELECT CASE WHEN review_flag THEN 'review' ELSE 'confident' END AS sink, {jsonl} AS value FROM first")
     over("w7_cef_text", [*EVENTS, FIRST], f"SELECT {_CEF} AS value FROM first WHERE NOT review_flag")
     over("w8_stream", [*EVENTS, FIRST], "SELECT CASE WHEN review_flag THEN 'review' ELSE 'confident' END AS sink, event_hash, message, format_hint FROM first")
+    for key in ("w8_restart", "w8_after_batch", "w6_lost_run"):
+        out[key] = out["w8_stream"]
+    over("w5_ocsf_dedup", [*EVENTS, FIRST], "SELECT event_hash FROM first WHERE NOT review_flag")
+    over("w2_retry", BASE, "SELECT DISTINCT 'confident' AS sink, sha256(raw) AS event_hash, CAST(len(raw) AS VARCHAR) AS message, fmt AS format_hint FROM d "
+         "UNION ALL SELECT DISTINCT 'review', sha256(raw), '[PARSE FAILURE] Ollama call failed: line has a tab', fmt FROM d WHERE contains(raw, chr(9))")
+    over("w3_index", EVENTS, "SELECT DISTINCT event_hash, CASE WHEN review_flag THEN 'review' ELSE 'confident' END AS sink FROM ev WHERE line_id % 6 <> 5")
+    over("m1_observed", [*EVENTS, FIRST], "SELECT format_hint, CASE WHEN review_flag THEN 'REVIEW' ELSE 'CONFIDENT' END AS status, "
+         "count(*) AS events, round(avg(confidence), 6) AS avg_confidence, count(src_ip) AS with_src_ip FROM first GROUP BY ALL")
     over("m1_status_counts", EVENTS, "SELECT format_hint, CASE WHEN review_flag THEN 'REVIEW' ELSE 'CONFIDENT' END AS status, "
          "count(*) AS events, round(avg(confidence), 6) AS avg_confidence, count(src_ip) AS with_src_ip FROM ev GROUP BY ALL")
     over("m2_source_counts", only_lines, "SELECT source, count(*) AS lines FROM lines GROUP BY source")
     over("p1_parse", EVENTS, f"SELECT line_id, {EVENT_LIST} FROM ev")
     over("p2_parse_batch", EVENTS, f"SELECT line_id, {EVENT_LIST} FROM ev")
     # sources
-    for key in ("s1_read_lines", "s2_start_latest", "s12_tolerant_read"):
+    for key in ("s1_read_lines", "s2_growing", "s12_tolerant_read"):
         over(key, only_lines, "SELECT raw FROM lines")
+    over("s2_start_latest", only_lines, "SELECT raw FROM lines WHERE source <> 'events'")
+    over("s12_retry", only_lines, "SELECT raw FROM lines WHERE source IN ('events', 'conversations') UNION ALL SELECT 'late'")
+    over("s13_encoded_lines", only_lines, "SELECT source, line_id, raw FROM lines")
+    over("s5_mixed_records", _OBJECT_TEXT, "SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY line_id) - 1 AS pos, "
+         "CASE WHEN line_id % 7 = 0 THEN 'null' ELSE CAST(to_json(raw) AS VARCHAR) END AS raw FROM ol")
+    over("s5_split_envelopes", [EVENT_LINES], "SELECT line_id % 5 AS part, '{\"n\":' || line_id || ',\"tag\":[\"é\",null]}' AS raw FROM lines")
+    out["d16_xml_files"] = (
+        "SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'evtx_xml' ELSE 'xml' END AS format, CAST(1 AS DOUBLE) AS confidence FROM events "
+        "UNION ALL SELECT -1, 'evtx_xml', 1.0"
+    )
     over("s3_read_objects", by_user[:2], "SELECT user_id, string_agg(raw, chr(10) ORDER BY line_id) || chr(10) AS text FROM u GROUP BY user_id")
     over("s5_unwrap_records", _OBJECT_TEXT, "SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY line_id) - 1 AS pos, "
          "'{\"n\":' || line_id || ',\"tag\":[\"é\",null]}' AS raw FROM ol WHERE object_id % 2 = 0")
@@ -547,7 +565,7 @@ def sql() -> dict[str, str]:
         "substr(CAST(p.ts AS VARCHAR), 1, 10) = substr(CAST(e.ts AS VARCHAR), 1, 10))"
     )
     out["s9_frame_datagrams"] = (
-        "SELECT doc_id AS msg_id, regexp_replace(text, '\\n+$', '') AS raw FROM documents WHERE lang <> 'de' AND regexp_replace(text, '\\n+$', '') <> ''"
+        "SELECT doc_id AS msg_id, regexp_replace(text, '\\n+$', '') AS raw FROM documents WHERE regexp_replace(text, '\\n+$', '') <> ''"
     )
     conns = [
         ("ol", _OBJECT_LINES_SQL),
@@ -558,7 +576,10 @@ def sql() -> dict[str, str]:
         ("l", "SELECT conn_id, unnest(string_split(text, chr(10))) AS raw FROM w"),
     ]
     over("s10_frame_chunks", conns, f"SELECT conn_id, {strip('raw')} AS raw FROM l WHERE {strip('raw')} <> ''")
-    over("s11_union_sources", only_lines, "SELECT CASE WHEN source = 'events' THEN 'FileConnector' ELSE source END AS source, raw FROM lines "
-         "WHERE source IN ('events', 'documents')")
-    out["s13_decode"] = "SELECT doc_id, text FROM documents"
+    out["s10_chunk_stream"] = out["s10_frame_chunks"]
+    over("s11_union_sources", only_lines, "SELECT CASE WHEN source = 'events' THEN 'FileConnector' ELSE source END AS source, raw FROM lines")
+    out["s13_decode"] = (
+        "SELECT doc_id, 'utf16' AS kind, text FROM documents UNION ALL SELECT doc_id, 'broken', text || chr(65533) FROM documents "
+        "UNION ALL SELECT doc_id, 'latin', regexp_replace(text, '[^\\x{00}-\\x{ff}]', '', 'g') FROM documents"
+    )
     return out

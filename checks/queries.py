@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import time
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loglathe.functions import answers as a, detect as d, formats, heal as h
 from loglathe.functions.text import date_in_raw, decode, event_hash, fixed2, is_hostname, is_ip, strip
@@ -11,13 +15,15 @@ from loglathe.operators import dedup, framing, healing, metrics, unwrap
 from loglathe.operators.assembly import assemble
 from loglathe.operators.detection import detect, profile_formats, with_format
 from loglathe.operators.extraction import build_prompt, extract_rules, extract_with, with_rule_fields
-from loglathe.operators.storage import work_path
+from loglathe.operators.storage import create_file, delete_path, work_path
 from loglathe.plans import jobs
-from loglathe.plans.sinks import Sinks, route, to_cef, to_json_lines, to_ocsf
+from loglathe.plans.index import HashIndex
+from loglathe.plans.ledger import RunLedger
+from loglathe.plans.sinks import Sinks, _write_run, route, run_batch, to_cef, to_json_lines, to_ocsf
 from loglathe.schema import EVENT_COLUMNS
 from loglathe.sources import files
 from loglathe.sources.config import union_sources
-from loglathe.streaming.run import run_stream
+from loglathe.streaming.run import flush_open, frame_chunk_stream, run_stream
 
 from . import corpus as c
 from .corpus import NOW
@@ -395,6 +401,98 @@ def w8_stream(spark, sf):
     return _sink_rows(spark, sinks).select("sink", event.alias("e")).select("sink", "e.*")
 
 
+def _sink_events(spark, sinks: Sinks) -> DataFrame:
+    event = F.from_json("value", "event_hash STRING, message STRING, format_hint STRING")
+    return _sink_rows(spark, sinks).select("sink", event.alias("e")).select("sink", "e.*")
+
+
+def _stream_into(spark, path: str, sinks: Sinks, checkpoint: str, **options) -> None:
+    lines = files.read_lines(spark, path, streaming=True, maxFilesPerTrigger=4, **options)
+    run_stream(lines, sinks, checkpoint, ingest_ts=NOW).awaitTermination()
+
+
+@query
+def w8_restart(spark, sf):
+    """A stream over the even lines, then one with a new checkpoint over all."""
+    sinks, lines = Sinks.under(work_path(spark, "restart")), c.event_lines(spark, sf)
+    _stream_into(spark, _line_files(spark, lines.where("line_id % 2 = 0")), sinks, work_path(spark, "offsets"))
+    _stream_into(spark, _line_files(spark, lines), sinks, work_path(spark, "offsets"))
+    return _sink_events(spark, sinks)
+
+
+@query
+def w8_after_batch(spark, sf):
+    """A batch run over a third of the lines, then a stream over all."""
+    sinks, lines = Sinks.under(work_path(spark, "mixed")), c.event_lines(spark, sf)
+    run_batch(lines.where("line_id % 3 = 0"), sinks, ingest_ts=NOW)
+    _stream_into(spark, _line_files(spark, lines), sinks, work_path(spark, "offsets"))
+    return _sink_events(spark, sinks)
+
+
+class _Lost(Exception):
+    pass
+
+
+class _LosingIndex(HashIndex):
+    def add(self, events, run):
+        raise _Lost
+
+
+@query
+def w6_lost_run(spark, sf):
+    """A run over half of the lines that is lost between counts and index, then runs over half and all."""
+    sinks, lines = Sinks.under(work_path(spark, "lost")), c.event_lines(spark, sf)
+    half = lines.where("line_id % 2 = 1")
+    ledger = RunLedger(spark, sinks.runs)
+    number = ledger.begin("batch")
+    try:
+        events = dedup.dedup_new(jobs.parse(half, ingest_ts=NOW))
+        _write_run(events, sinks, number, ledger, _LosingIndex(spark, sinks.index), formats.PRODUCT, all_new=False)
+    except _Lost:
+        ledger.left(number)
+    run_batch(half, sinks, ingest_ts=NOW)
+    run_batch(lines, sinks, ingest_ts=NOW)
+    return _sink_events(spark, sinks)
+
+
+def late_extractor(batch: pd.DataFrame) -> pd.Series:
+    """The same model as ``fake_extractor`` when it is up again."""
+    return '{"confidence":0.9,"message":"' + batch["raw"].str.len().astype(str) + '"}'
+
+
+@query
+def w2_retry(spark, sf):
+    """A run whose model fails on lines with a tab, then one in which it answers all."""
+    sinks, lines = Sinks.under(work_path(spark, "retry")), c.event_lines(spark, sf)
+    run_batch(lines, sinks, extractor=fake_extractor, ingest_ts=NOW)
+    run_batch(lines, sinks, extractor=late_extractor, ingest_ts=NOW)
+    return _sink_events(spark, sinks)
+
+
+@query
+def w3_index(spark, sf):
+    """Six runs of a line each in an index that keeps two side by side; what all lines find of the first five."""
+    hashed = dedup.with_sink(_parsed(spark, sf)).select("line_id", "event_hash", "review_flag", "sink")
+    index = HashIndex(spark, work_path(spark, "index"))
+    for run in range(6):
+        index.add(hashed.where(F.col("line_id") % 6 == run).select("event_hash", "review_flag").distinct(), run)
+        index.merge(2)
+    return index.seen(hashed, 5).distinct()
+
+
+@query
+def w5_ocsf_dedup(spark, sf):
+    value = F.from_json("value", "enrichments STRUCT<event_hash STRING>")["enrichments"]["event_hash"]
+    return spark.read.text(_routed(spark, sf).ocsf).select(value.alias("event_hash"))
+
+
+@query
+def m1_observed(spark, sf):
+    """Counts of a run, taken while its events are written."""
+    counts = run_batch(c.event_lines(spark, sf), Sinks.under(work_path(spark, "observed")), ingest_ts=NOW)
+    return counts.withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
 @query
 def m1_status_counts(spark, sf):
     return metrics.status_counts(_parsed(spark, sf)).withColumn("avg_confidence", F.round("avg_confidence", 6))
@@ -431,16 +529,54 @@ def s1_read_lines(spark, sf):
 
 @query
 def s2_start_latest(spark, sf):
-    path = _line_files(spark, c.all_lines(spark, sf))
-    return files.read_lines(spark, path, start="latest", start_time="2000-01-01 00:00:00").select("raw")
+    """Files of events, and later ones of all else; only what came after the time in between."""
+    lines, path = c.all_lines(spark, sf), work_path(spark, "lines")
+    text = lines.select(F.col("raw").alias("value"), "source")
+    text.where("source = 'events'").select("value").write.text(f"{path}/early")
+    time.sleep(1.1)
+    since = spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
+    time.sleep(1.1)
+    text.where("source <> 'events'").select("value").write.text(f"{path}/late")
+    return files.read_lines(spark, path, start="latest", start_time=since).select("raw")
+
+
+@query
+def s2_growing(spark, sf):
+    """A stream by bytes over a folder that gets more between two runs of the stream."""
+    path, out, checkpoint = (work_path(spark, n) for n in ("growing", "grown", "offsets"))
+    text = c.all_lines(spark, sf).select(F.col("raw").alias("value"), "source")
+    for part in ("source = 'events'", "source <> 'events'"):
+        text.where(part).select("value").write.mode("append").text(path)
+        stream = files.read_lines(spark, path, streaming=True, growing=True, rangeBytes=1 << 20)
+        query = stream.select("raw").writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("raw")
 
 
 @query
 def s12_tolerant_read(spark, sf):
     path = _line_files(spark, c.all_lines(spark, sf), compression="gzip")
+    create_file(spark, f"{path}/broken.txt.gz", "no gzip")
     return files.read_lines(spark, path, tolerant=True).select("raw")
 
 
+@query
+def s12_retry(spark, sf):
+    """Objects of events and one that is broken; then it is whole, and only it is read."""
+    path, out = work_path(spark, "objects"), work_path(spark, "taken")
+    keys = files.ProcessedKeys(spark, work_path(spark, "keys"))
+    c.event_lines(spark, sf).select(F.col("raw").alias("value")).write.text(f"{path}/events")
+    create_file(spark, f"{path}/broken/late.txt.gz", "no gzip")
+    for run in range(2):
+        files.take_objects(spark, path, keys, lambda lines, run=run: lines.write.parquet(f"{out}/run={run}"), run)
+        if not run:
+            delete_path(spark, f"{path}/broken/late.txt.gz")
+            create_file(spark, f"{path}/broken/late.txt.gz", gzip.compress(b"late\n"))
+            talk = c.all_lines(spark, sf).where("source = 'conversations'").select(F.col("raw").alias("value"))
+            talk.write.option("compression", "gzip").text(f"{path}/talk")
+    return spark.read.parquet(out).select("raw")
+
+
 @query
 def s3_read_objects(spark, sf):
     path = _user_files(spark, sf, compression="gzip")
@@ -483,18 +619,97 @@ def s10_frame_chunks(spark, sf):
 
 @query
 def s11_union_sources(spark, sf):
+    """A source of each kind, and one more file source."""
+    lines, paths = c.all_lines(spark, sf), {}
+    for name in ("events", "documents", "pages"):
+        paths[name] = _line_files(spark, lines.where(F.col("source") == name))
+    paths["conversations"] = work_path(spark, "captured")
+    payload = F.encode(F.concat("raw", F.lit("\n")), "utf-8").alias("payload")
+    lines.where("source = 'conversations'").select(payload).write.parquet(paths["conversations"])
     blocks = [
-        {"type": "file", "path": _line_files(spark, c.event_lines(spark, sf))},
-        {"type": "table", "name": "documents"},
+        {"type": "file", "path": paths["events"]},
+        {"type": "s3", "name": "documents", "bucket": paths["documents"]},
+        {"type": "file", "name": "pages", "path": paths["pages"]},
+        {"type": "syslog", "name": "conversations", "path": paths["conversations"]},
     ]
-
-    def read_table(spark, block, streaming):
-        return c.all_lines(spark, sf).where(F.col("source") == block["name"]).select("raw")
-
-    return union_sources(spark, blocks, {"table": read_table}).select("source", "raw")
+    return union_sources(spark, blocks).select("source", "raw")
 
 
 @query
 def s13_decode(spark, sf):
+    """Whole texts as UTF-16 and, without what it lacks, Latin-1; and with a byte at the end that is no UTF-8."""
     docs = c.table(spark, sf, "documents")
-    return docs.select("doc_id", decode(F.encode("text", "utf-8")).alias("text"))
+    latin = F.regexp_replace("text", r"[^\x00-\xff]", "")
+    cases = {
+        "utf16": decode(F.encode("text", "UTF-16BE"), "UTF-16BE"),
+        "latin": decode(F.encode(latin, "ISO-8859-1"), "ISO-8859-1"),
+        "broken": decode(F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")))),
+    }
+    return reduce(
+        DataFrame.unionByName, [docs.select("doc_id", F.lit(k).alias("kind"), v.alias("text")) for k, v in cases.items()]
+    )
+
+
+@query
+def s13_encoded_lines(spark, sf):
+    """Every line of all tables in files of UTF-16, read in ranges."""
+    path = work_path(spark, "encoded")
+    c.all_lines(spark, sf).select("source", "line_id", "raw").write.option("encoding", "UTF-16LE").json(path)
+    read = files.read_lines(spark, path, encoding="utf-16-le", rangeBytes=256 << 10)
+    return read.select(F.from_json("raw", "source STRING, line_id BIGINT, raw STRING").alias("r")).select("r.*")
+
+
+@query
+def s5_mixed_records(spark, sf):
+    return unwrap.unwrap_records(c.mixed_objects(spark, sf))
+
+
+@query
+def s5_split_envelopes(spark, sf):
+    """All lines of five connections as five envelopes, read record by record."""
+    path, lines = work_path(spark, "envelopes"), c.event_lines(spark, sf)
+    record = F.concat(F.lit('{ "n" : '), F.col("line_id").cast("string"), F.lit(', "tag":["é", null] }'))
+    rows = lines.select((F.col("line_id") % 5).alias("part"), record.alias("value"))
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("value")))
+    last = numbered.withColumn("all", F.count("*").over(Window.partitionBy("part")))
+    value = F.concat(F.when(F.col("nth") == 1, '{"Records":[').otherwise(","), "value", F.when(F.col("nth") == F.col("all"), "]}").otherwise(""))
+    last.repartition("part").sortWithinPartitions("part", "nth").select("part", value.alias("value")).write.partitionBy("part").text(path)
+    part = F.regexp_extract("file_path", r"part=(\d+)", 1).cast("long").alias("part")
+    return files.load_objects(spark, path).select(part, "raw")
+
+
+@query
+def d16_xml_files(spark, sf):
+    """Files of records as XML, half with the tags of event logs, and one by whose name it is a binary log."""
+    path = work_path(spark, "xml")
+    events = c.table(spark, sf, "events")
+    record = {"Event": F.struct(F.col("event_id").alias("EventID")).alias("System"), "entry": F.col("event_type").alias("kind")}
+    for rest, tag in ((0, "Event"), (1, "entry")):
+        some = events.where(F.col("user_id") % 2 == rest).select("user_id", record[tag]).repartition("user_id")
+        some.write.partitionBy("user_id").format("xml").option("rowTag", tag).save(f"{path}/{tag}")
+    create_file(spark, f"{path}/user_id=-1/log.EVTX", "ElfFile")
+    return files.detect_files(spark, path).select(_user_of_any(), "format", "confidence")
+
+
+def _user_of_any():
+    return F.regexp_extract("file_path", r"user_id=(-?\d+)", 1).cast("long").alias("user_id")
+
+
+@query
+def s10_chunk_stream(spark, sf):
+    """Chunks in three files, one after the other; lines of the micro-batches and, at the end, of what is still open."""
+    path, out, open_path = (work_path(spark, n) for n in ("chunks", "framed", "open"))
+    chunks = c.chunks(spark, sf)
+    third = F.ntile(3).over(Window.partitionBy("conn_id").orderBy("seq"))
+    for k, part in enumerate((1, 2, 3)):
+        chunks.withColumn("t", third).where(F.col("t") == part).drop("t").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def write(lines: DataFrame, batch_id: int) -> None:
+        lines.select("conn_id", "raw").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    frame_chunk_stream(stream, open_path, write, work_path(spark, "offsets")).awaitTermination()
+    tails = spark.read.schema("conn_id LONG, tail BINARY, batch_id LONG").parquet(open_path)
+    last = tails.join(tails.agg(F.max("batch_id").alias("batch_id")), "batch_id")
+    done = spark.read.schema("conn_id LONG, raw STRING").parquet(f"{out}/batch_id=*")
+    return done.unionByName(flush_open(last.select("conn_id", "tail")))

@@ -67,7 +67,7 @@ def file_sizes(spark: SparkSession, path: str) -> dict[str, int]:
     return {f.getPath().getName(): f.getLen() for f in system.listStatus(hadoop_path) if f.isFile()}
 
 
-def create_file(spark: SparkSession, path: str, text: str) -> bool:
+def create_file(spark: SparkSession, path: str, text: str | bytes) -> bool:
     """Write a small file unless there is one of that name; of several writers one succeeds, where the store checks it."""
     system, hadoop_path = _file_system(spark, path)
     try:
@@ -77,7 +77,7 @@ def create_file(spark: SparkSession, path: str, text: str) -> bool:
             return False
         raise
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(text.encode() if isinstance(text, str) else text))
     finally:
         out.close()
     return True
