@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglathe.llm.tables import Tables
+
 #: Buckets of one-word and of two-word terms each.
 BUCKETS = 1 << 16
 #: Standard deviations below the trusted documents' mean ratio at which a text is rejected.
@@ -17,6 +19,9 @@ MIDDLE, PER_UNIT = 64, 8
 #: Bits of a window's place in the number that it is sorted by; the others are of its hash.
 PLACE_BITS = 14
 
+#: Bytes of an id in a broadcast, and how many such bytes are broadcast.
+ID_BYTES, BROADCAST_BYTES = 16, 64 << 20
+
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -118,33 +123,30 @@ def _mean_ratio(all_words: Column, table: bytes) -> Column:
     return bound(codes, lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(mean(u)))
 
 
-def _counts(texts: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
-    """One-word and two-word terms in each bucket, of ``_trusted`` texts and of all; at most ``2 * BUCKETS`` rows come to
-    the driver.
+def _counts(texts: DataFrame) -> dict[int, int]:
+    """One-word and two-word terms of ``text`` in each bucket; at most ``2 * BUCKETS`` rows come to the driver.
 
     Every word is a row beside the one after it, so the counting is generated code and not a loop over arrays.
     """
-    split = texts.select("_trusted", words(F.col("text")).alias("w"))
-    pairs = split.select(
-        "_trusted", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b")))
-    )
-    coded = pairs.select("_trusted", F.crc32("a").alias("a"), F.crc32("b").alias("b"))
+    split = texts.select(words(F.col("text")).alias("w"))
+    pairs = split.select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))))
+    coded = pairs.select(F.crc32("a").alias("a"), F.crc32("b").alias("b"))
     found = (
-        coded.select("_trusted", F.explode(F.array(_one(F.col("a")), _two(F.col("a"), F.col("b")))).alias("term"))
+        coded.select(F.explode(F.array(_one(F.col("a")), _two(F.col("a"), F.col("b")))).alias("term"))
         .where("term IS NOT NULL")
         .groupBy("term")
-        .agg(F.sum(F.col("_trusted").cast("long")).alias("target"), F.count("*").alias("raw"))
+        .agg(F.count("*").alias("n"))
         .collect()
     )
-    return {r["term"]: r["target"] for r in found}, {r["term"]: r["raw"] for r in found}
+    return {r["term"]: r["n"] for r in found}
 
 
-def ratios(texts: DataFrame) -> bytes:
-    """Log ratio of each term under the multinomial of ``_trusted`` texts and of all, both with one added to every bucket.
+def ratios(texts: DataFrame, trusted: DataFrame) -> bytes:
+    """Log ratio of each term under the multinomial of ``trusted`` texts and of all, both with one added to every bucket.
 
     A byte a term, in steps of ``1 / PER_UNIT``: a constant of the plan that stays small.
     """
-    target, raw = _counts(texts)
+    target, raw = _counts(trusted), _counts(texts)
     out = bytearray()
     for first in (0, BUCKETS):
         n_target = sum(target.get(first + i, 0) for i in range(BUCKETS)) + BUCKETS
@@ -155,6 +157,17 @@ def ratios(texts: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _texts_of(given: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts whose id is among the distinct ``ids``.
+
+    Ids are counted, and broadcast while they take ``BROADCAST_BYTES`` at most.  Beyond that, texts are shuffled to them,
+    once: what they leave is written.
+    """
+    if ids.count() * ID_BYTES <= BROADCAST_BYTES:
+        return given.join(F.broadcast(ids), "doc_id", "left_semi")
+    return Tables(given.sparkSession, "trusted").write(given.join(ids, "doc_id", "left_semi"))
+
+
 OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
 
 
@@ -176,16 +189,13 @@ def scored(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     kept.
 
     A null text is empty.  Rows are judged one by one: repeated rows, null ids and clashing extra columns change
-    nothing (own columns replace them); an empty table gives an empty one.  Three scans: terms, threshold over the
-    trusted, result.  Texts are shuffled to the ids of the trusted only if these are too many to broadcast.
+    nothing (own columns replace them); an empty table gives an empty one.  Scans: terms of the trusted, terms of all,
+    threshold over the trusted, result.  Only trusted texts meet ids (see ``_texts_of``).
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    marked = given.join(ids.withColumn("_in", F.lit(True)), "doc_id", "left").select(
-        "text", F.col("_in").isNotNull().alias("_trusted")
-    )
-    table = ratios(marked)
-    trusted = given.join(ids, "doc_id", "left_semi")
+    trusted = _texts_of(given, ids)
+    table = ratios(given, trusted)
     # a filter would be pushed below the projections and split the texts again
     counted = F.when(~F.col("base_failed"), F.col("ratio"))
     mean, spread = _judged(trusted, table).select(counted.alias("r")).agg(F.avg("r"), F.stddev_pop("r")).first()
