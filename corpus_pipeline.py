@@ -10,13 +10,14 @@ from loglathe.llm.packing import pack_documents
 from loglathe.llm.quality import scored
 from loglathe.llm.queries import TOKENIZER
 from loglathe.llm.secrets import redacted
-from loglathe.llm.tables import Tables
+from loglathe.llm.tables import Tables, set_apart
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, labels.where("quality = 1")).where("kept").select(*docs.columns)
+    packed, back = set_apart(docs, ("doc_id", "text"))
+    return back(scored(packed, labels.where("quality = 1")).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

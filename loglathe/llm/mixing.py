@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loglathe.llm.tables import Tables
+from loglathe.llm.tables import Tables, set_apart
 from loglathe.llm.words import _SPACE, slices, text_bytes
 
 #: Words of a block; the last block of a stream may hold fewer.
@@ -242,8 +243,14 @@ def mixed_documents(docs: DataFrame, *, weights=_by_turns, seed: int = 17) -> Da
     """The mix itself, in the columns of ``docs``: for every pass over a document, the text that the pass takes of it.
 
     A pass that takes all its blocks gives the text as it is, another one the taken stretches, joined by line breaks.
-    Documents without words are in no mix.  Other columns are copied; ``n_chars``, if there, is counted anew.
+    Documents without words are in no mix.  Other columns are copied, whatever their names; ``n_chars``, if there, is
+    counted anew.
     """
+    packed, back = set_apart(docs, ("doc_id", "text", "source", "n_chars"))
+    return back(_mixed(packed, weights, seed))
+
+
+def _mixed(docs: DataFrame, weights, seed: int) -> DataFrame:
     tables = Tables(docs.sparkSession, "mixing")
     placed, drawn = _laid_out(docs, tables, weights, seed)
     key = ["src", "stream", "nth"]
@@ -258,6 +265,6 @@ def mixed_documents(docs: DataFrame, *, weights=_by_turns, seed: int = 17) -> Da
     joined = one.join(
         spans, F.col("doc_id").cast("long").eqNullSafe(F.col("mix_doc")) & (one["mix_mark"] == spans["mix_mark"])
     ).select(*rest, "text", "spans")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*rest, "text"])
+    kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in rest] + [T.StructField("text", T.StringType())])
     out = joined.mapInArrow(_fragments, kinds)
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)

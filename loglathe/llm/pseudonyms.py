@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loglathe.llm.quality import bound
 from loglathe.llm.secrets import placed
+from loglathe.llm.tables import set_apart
 from loglathe.operators.once import evaluate_once
 
 KINDS = ["email", "date", "ip", "ssn", "phone", "card"]
@@ -304,8 +305,14 @@ def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     case.  What only looks like one (a wrong check digit, a 31st of February) stays.
 
     Expressions only, one pass.  A null text stays null with counts of 0; repeated rows, null ids and other columns
-    stay; columns of the same names are replaced; ``n_chars``, if there, is counted anew.
+    stay; columns that are named like a count are replaced; ``n_chars``, if there, is counted anew.
     """
+    counts = [f"n_{name}" for name in KINDS]
+    packed, back = set_apart(docs.drop(*counts), ("text", "n_chars"))
+    return back(_pseudonymized(packed, key), *counts)
+
+
+def _pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     text = F.col("text").cast("string")
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

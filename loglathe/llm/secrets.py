@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.llm.quality import bound
-from loglathe.llm.tables import Tables
+from loglathe.llm.tables import Tables, set_apart
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = (
@@ -276,8 +276,13 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``secret_spans`` replaced by ``mark``; spans that overlap are replaced as one.
 
     Texts are scanned twice, for the levels and for the result, so that they are not stored.  A null text stays null;
-    ``n_chars``, if there, is counted anew.
+    ``n_chars``, if there, is counted anew; other columns stay, whatever their names.
     """
+    packed, back = set_apart(docs, ("text", "n_chars"))
+    return back(_redacted(packed, mark))
+
+
+def _redacted(docs: DataFrame, mark: str) -> DataFrame:
     runs = Tables(docs.sparkSession, "secrets").write(
         _scanned(docs.select("text")).select(F.explode("_runs").alias("r")).select("r.*")
     )
