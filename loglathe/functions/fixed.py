@@ -128,7 +128,7 @@ HINT_FORMAT = "Detected format     : "
 HINT_CONFIDENCE = "Detector confidence : "
 HINT_SAMPLE = "Raw sample          : "
 PROMPT_USER = "\n\nUser: "
-PROMPT_INSTRUCTION = "Parse the following log line and return the JSON schema:"
+PROMPT_INSTRUCTION = "The log line to read is below. Answer with the JSON object described above."
 
 # --- file detection ---------------------------------------------------------------------------------------------
 EVTX_HEAD_CHARS = 2000
