@@ -88,29 +88,39 @@ class _Pieces(dict):
         return ids
 
 
-class ByteBpe:
-    """Encoder and decoder of one vocabulary."""
+class Decoder:
+    """Text of the ids of one vocabulary."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        ranks = read_ranks(path)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.tokens = TokenText({i: t for t, i in ranks.items()})
+
+    def decode(self, ids: bytes) -> bytes:
+        """UTF-8 text of ids; ids without token and bytes that are no character become U+FFFD."""
+        every, reader = np.frombuffer(ids, "<u4", len(ids) // 4), Utf8()
+        parts = [self.tokens.feed(every[at : at + STEP], reader) for at in range(0, len(every), STEP)]
+        return b"".join(parts) + reader.close()
+
+
+class Encoder:
+    """Ids of texts by one vocabulary and pattern."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = Transducer(ranks)
-        self.tokens = TokenText(self.transducer.text)
         self.splitter = Splitter(pattern)
         self.known = _Pieces(self.transducer)
 
     def encode(self, text: str) -> bytes:
         return b"".join(b"".join(map(self.known.__getitem__, some)) for some in self.splitter.pieces(text))
 
-    def decode(self, ids: bytes) -> bytes:
-        """UTF-8 text of ids; ids without token and bytes that are no character become U+FFFD."""
-        every, reader = np.frombuffer(ids, "<u4", len(ids) // 4), Utf8()
-        parts = [self.tokens.feed(every[at : at + STEP], reader) for at in range(0, len(every), STEP)]
-        return b"".join(parts) + reader.close()
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(read_ranks(path), pattern)
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
 
 
 def _mapped(rows: DataFrame, keep: Sequence[str], source: str, field: T.StructField, work) -> DataFrame:
@@ -160,13 +170,13 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str], text:
     """
 
     def work():
-        coder = byte_bpe(path, pattern)
+        coder = encoder(path, pattern)
         return lambda data: coder.encode(data.decode("utf-8", "replace"))
 
     return _mapped(docs, keep, text, T.StructField("ids", T.BinaryType()), work)
 
 
-def decode(rows: DataFrame, path: str, pattern: str, keep: Sequence[str], ids: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, path: str, keep: Sequence[str], ids: str = "ids") -> DataFrame:
     """``keep`` and ``text``: what ids as ``encode`` writes them stand for.
 
     Ids are taken some at a time; a character that is split over tokens is put together by a state machine.  A null or
@@ -175,7 +185,7 @@ def decode(rows: DataFrame, path: str, pattern: str, keep: Sequence[str], ids: s
     """
 
     def work():
-        return byte_bpe(path, pattern).decode
+        return decoder(path).decode
 
     return _mapped(rows, keep, ids, T.StructField("text", T.StringType()), work)
 

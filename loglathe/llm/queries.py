@@ -112,9 +112,8 @@ def _count(kind: int, name: str) -> Column:
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = BYTE_TOKENIZER, public_tokenizers.PATTERN
-    ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary, keep=["doc_id"])
-    return byte_bpe.decode(ids, *vocabulary, keep=["doc_id", "ids"]).select(
+    ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, public_tokenizers.PATTERN, keep=["doc_id"])
+    return byte_bpe.decode(ids, BYTE_TOKENIZER, keep=["doc_id", "ids"]).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -14,11 +14,18 @@ PATHS = [public_tokenizers.path(f"byte_bpe_{n}.tiktoken") for n in ("50k", "mult
 PATTERN = public_tokenizers.PATTERN
 
 
+class Coder:
+    def __init__(self, path: str) -> None:
+        ranks = transducer.read_ranks(path)
+        coder = byte_bpe.Encoder(ranks, PATTERN)
+        self.transducer, self.encode, self.decode = coder.transducer, coder.encode, byte_bpe.Decoder(ranks).decode
+
+
 @pytest.fixture(scope="module", params=PATHS)
 def both(request):
     ranks = transducer.read_ranks(request.param)
     theirs = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return byte_bpe.ByteBpe(request.param, PATTERN), theirs
+    return Coder(request.param), theirs
 
 
 def _texts(n: int) -> list[str]:
@@ -65,7 +72,7 @@ def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHED_PIECES", 20)
     monkeypatch.setattr(byte_bpe, "LONG_TEXT", 30)
     monkeypatch.setattr(byte_bpe, "STEP", 5)
-    ours = byte_bpe.ByteBpe(PATHS[0], PATTERN)
+    ours = Coder(PATHS[0])
     theirs = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ours.transducer.ranks, special_tokens={})
     for text in _texts(300):
         ids = ours.encode(text)
@@ -125,13 +132,13 @@ def test_tables(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     ids = byte_bpe.encode(docs, PATHS[0], PATTERN, ["doc_id", "_source"])
     assert ids.columns == ["doc_id", "_source", "ids"]
-    back = byte_bpe.decode(ids, PATHS[0], PATTERN, ["doc_id", "_source", "ids"])
+    back = byte_bpe.decode(ids, PATHS[0], ["doc_id", "_source", "ids"])
     got = back.collect()
     theirs = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=transducer.read_ranks(PATHS[0]), special_tokens={})
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(r[0]), r[1] or "") for r in rows)
     assert all(_ids(bytes(r["ids"])) == theirs.encode_ordinary(r["text"]) for r in got)
     empty = byte_bpe.encode(docs.limit(0), PATHS[0], PATTERN, ["doc_id"])
-    assert empty.collect() == [] and byte_bpe.decode(empty, PATHS[0], PATTERN, []).collect() == []
+    assert empty.collect() == [] and byte_bpe.decode(empty, PATHS[0], []).collect() == []
     with pytest.raises(ValueError):
         byte_bpe.encode(docs, PATHS[0], PATTERN, ["ids"])
 
@@ -140,8 +147,8 @@ def test_ids_and_bytes_that_stand_for_nothing(spark):
     known = transducer.read_ranks(PATHS[0])
     half = np.array([known[b"\xe2"], 4_000_000_000, known[b"a"]], "<u4").tobytes()
     rows = [(1, bytearray(half + b"\x01\x02")), (2, None)]
-    got = byte_bpe.decode(spark.createDataFrame(rows, "k int, ids binary"), PATHS[0], PATTERN, ["k"]).collect()
+    got = byte_bpe.decode(spark.createDataFrame(rows, "k int, ids binary"), PATHS[0], ["k"]).collect()
     assert {r["k"]: r["text"] for r in got} == {1: "��a", 2: ""}
     broken = spark.sql("SELECT 1 AS k, CAST(X'61FF62' AS STRING) AS text")
     ids = byte_bpe.encode(broken, PATHS[0], PATTERN, ["k"])
-    assert byte_bpe.decode(ids, PATHS[0], PATTERN, ["k"]).first()["text"] == "a�b"
+    assert byte_bpe.decode(ids, PATHS[0], ["k"]).first()["text"] == "a�b"
