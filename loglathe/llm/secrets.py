@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,27 +25,57 @@ FALSE_SHARE = 0.05
 TURNED_AWAY = 0.001
 #: Bins to a power of ten in which chances are counted.
 BINS = 20
-#: Shares of the letters a-z in ordinary text; count as so many runs (``ENOUGH``) beside the corpus's own.
-ORDINARY = [
-    0.0817, 0.0149, 0.0278, 0.0425, 0.1270, 0.0223, 0.0202, 0.0609, 0.0697, 0.0015, 0.0077, 0.0403, 0.0241,
-    0.0675, 0.0751, 0.0193, 0.0010, 0.0599, 0.0633, 0.0906, 0.0276, 0.0098, 0.0236, 0.0015, 0.0197, 0.0007,
-]
-ENOUGH = 100
-#: Share of the ordinary runs that may seem less likely than that share.
-STRAY = 0.01
-
-_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: Encodings a string may be in, narrowest first: what it must match and its alphabet.
+#: Length from which a string has full weight in the false-discovery control; shorter ones have less, in proportion.
+FULL_WEIGHT = 64
+#: Share of a-f among the letters of ordinary strings, at most.
+A_TO_F = 0.4
+#: Serial correlation of neighbouring letters in ordinary words, vowels numbered first; in random strings it is 0.
+ORDINARY_SERIAL = -0.15
+#: Spread of coincidences that comes from ordinary letters' unequal shares, over the square of their coincidence.
+UNEVEN = 0.26
+
+_VOWELS, _CONSONANTS, _DIGITS = "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789"
+_LOWER = _VOWELS + _CONSONANTS
+_UPPER = _LOWER.upper()
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """What a string may be written in, and what ordinary strings of such characters look like.
+
+    ``same``: chance that two places of an ordinary string hold the same character.  ``turn``: chance that neighbours
+    differ in class, which is lower case, upper case, digit or other, and vowel or consonant where all are letters of
+    one case (``letters``).  ``in_letters`` and ``in_digits``: share of ordinary letters and digits that the alphabet
+    has, at most.  ``chances``: how many are combined (see ``_tested``).  Ordinary words of one case change between vowel and consonant more often than random
+    strings do, other ordinary strings change class less often.
+    """
+
+    pattern: str
+    alphabet: str
+    same: float
+    turn: float
+    letters: bool = False
+    in_letters: float = 1.0
+    in_digits: float = 1.0
+
+    @property
+    def chances(self) -> int:
+        return 2 + (self.letters or self.in_letters * self.in_digits < 1)
+
+
+#: Narrowest first; the last takes what fits no other.
 ENCODINGS = [
-    ("^[0-9a-f]+$", _DIGITS + "abcdef"),
-    ("^[0-9A-F]+$", _DIGITS + "ABCDEF"),
-    ("^[A-Z2-7]+$", _UPPER + "234567"),
-    ("^[a-z0-9]+$", _LOWER + _DIGITS),
-    ("^[A-Z0-9]+$", _UPPER + _DIGITS),
-    ("^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
-    ("^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
+    Encoding("^[0-9a-f]+$", _DIGITS + "abcdef", 0.075, 1 / 6, in_letters=A_TO_F),
+    Encoding("^[0-9A-F]+$", _DIGITS + "ABCDEF", 0.075, 1 / 6, in_letters=A_TO_F),
+    Encoding("^[a-z]+$", _LOWER, 0.065, 0.5, True),
+    Encoding("^[A-Z]+$", _UPPER, 0.065, 0.5, True),
+    Encoding("^[A-Z2-7]+$", _UPPER + "234567", 0.05, 1 / 6, in_digits=0.6),
+    Encoding("^[a-z0-9]+$", _LOWER + _DIGITS, 0.05, 1 / 6),
+    Encoding("^[A-Z0-9]+$", _UPPER + _DIGITS, 0.05, 1 / 6),
+    Encoding("^[A-Za-z0-9]+$", _LOWER + _DIGITS + _UPPER, 0.04, 1 / 3),
+    Encoding("^[A-Za-z0-9+/]+$", _LOWER + _DIGITS + "+/" + _UPPER, 0.04, 1 / 3),
+    Encoding("", _LOWER + _DIGITS + "+/-_" + _UPPER, 0.04, 1 / 3),
 ]
-_OTHER = _UPPER + _LOWER + _DIGITS + "+/-_"
 
 
 def placed(text: Column, pattern: str, keep=None) -> Column:
@@ -93,88 +124,134 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
-def _letter_counts(run: Column) -> Column:
-    low = F.lower(run)
-    return F.transform(
-        F.array(*map(F.lit, _LOWER)), lambda c: F.length(low) - F.length(F.replace(low, c, F.lit("")))
-    )
+def _log_tail(z: Column) -> Column:
+    """Logarithm of ``_tail``, without underflow."""
+    y = -(1.5976 * z + 0.07056 * z * z * z)
+    return -F.when(y > 30, y).otherwise(F.log1p(F.exp(F.least(y, F.lit(30.0)))))
+
+
+def _inferred(run: Column, value) -> Column:
+    """``value(number, encoding)`` of the first encoding that the string fits."""
+    *narrow, last = enumerate(ENCODINGS)
+    out = value(*last)
+    for i, encoding in reversed(narrow):
+        out = F.when(run.rlike(encoding.pattern), value(i, encoding)).otherwise(out)
+    return out
 
 
-def _gain(run: Column) -> Column:
+def _turns(run: Column, encoding: Column) -> Column:
+    """Places where the class of characters changes."""
+    by_class = F.translate(run, _LOWER + _UPPER + _DIGITS + "+/-_", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
+    by_sound = F.translate(F.lower(run), _LOWER, "a" * 5 + "b" * 21)
+    classes = F.when(encoding["letters"], by_sound).otherwise(by_class)
+    return (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1).cast("double")
+
+
+def _alphabet_fit(run: Column, encoding: Column) -> Column:
+    """Logarithm of the chance that an ordinary string's letters and digits all lie in the encoding's alphabet."""
     letters = F.length(F.regexp_replace(run, "[^A-Za-z]", ""))
     digits = F.length(F.regexp_replace(run, "[^0-9]", ""))
-    gain = F.lit(0.0)
-    for pattern, alphabet in reversed(ENCODINGS):
-        own_letters = len({c for c in alphabet.lower() if c in _LOWER})
-        own_digits = sum(c in _DIGITS for c in alphabet)
-        gain = F.when(
-            run.rlike(pattern), letters * math.log(26 / own_letters) + digits * math.log(10 / own_digits)
-        ).otherwise(gain)
-    return gain
+    return letters * F.log(encoding["in_letters"]) + digits * F.log(encoding["in_digits"])
 
 
 def _tested(run: Column) -> Column:
-    """Of a run of letters: ``n``, ``counts`` of a-z in either case, what the encoding adds (``gain``), and ``random``.
+    """The battery on a run of letters: ``encoding`` (its number), ``random``, ``level``.
 
-    ``gain``: logarithm of how much likelier the uniform string is than an ordinary one to have such digits and letters
-    as fit the encoding, counting a letter as one of 26 and leaving its own share in ordinary text aside.
+    Three statistics are taken over the inferred encoding's alphabet: chi-squared of the character counts, runs, and
+    serial correlation of neighbours.  ``random``: none of them turns the run away as a uniform string.
 
-    ``random``: none of three tests turns it away as a uniform string over its encoding's alphabet: chi-squared of the
-    letter counts, number of runs above and below the middle of the alphabet, serial correlation of neighbours.
+    ``level``: decimal logarithm, in ``BINS`` steps, of one over the weighted chance that an ordinary string looks so
+    random.  Chances are combined by Fisher's method: a chi-squared as low (as few equal pairs), class changes as many
+    (in words of one case, as few), and, where they apply, characters all in a narrower alphabet, and a serial
+    correlation as high (words of one case).  Shorter strings weigh less, in proportion to ``FULL_WEIGHT``.  Nothing depends on other strings.
     """
-    alphabet = F.lit(_OTHER)
-    for pattern, letters in reversed(ENCODINGS):
-        alphabet = F.when(run.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    kind = _inferred(
+        run,
+        lambda i, e: F.struct(
+            F.lit(i).alias("number"),
+            F.lit(e.alphabet).alias("alphabet"),
+            F.lit(float(len(e.alphabet))).alias("k"),
+            F.lit(e.same).alias("same"),
+            F.lit(e.turn).alias("turn"),
+            F.lit(e.letters).alias("letters"),
+            F.lit(e.in_letters).alias("in_letters"),
+            F.lit(e.in_digits).alias("in_digits"),
+            F.lit(e.chances).alias("chances"),
+        ),
+    )
 
     def measure(x: Column) -> Column:
-        letters, k = x["letters"], F.length(x["alphabet"]).cast("double")
-        codes = F.transform(letters, lambda c: F.instr(x["alphabet"], c).cast("double"))
-        return bound(
-            F.struct(letters.alias("letters"), codes.alias("codes"), F.size(letters).cast("double").alias("n"), k.alias("k")),
-            tests,
-        )
-
-    def tests(x: Column) -> Column:
-        letters, codes, n, k = x["letters"], x["codes"], x["n"], x["k"]
+        letters, kind = x["letters"], x["kind"]
+        codes = F.transform(letters, lambda c: F.instr(kind["alphabet"], c).cast("double"))
+        n = F.size(letters).cast("double")
         squares = F.aggregate(
             F.array_distinct(letters),
             F.lit(0.0),
             lambda s, c: s + F.pow(F.size(F.filter(letters, lambda d: d == c)).cast("double"), F.lit(2.0)),
         )
+        mean = F.aggregate(codes, F.lit(0.0), lambda s, v: s + v) / n
+        return bound(
+            F.struct(codes.alias("codes"), n.alias("n"), squares.alias("squares"), mean.alias("mean"), kind.alias("kind")),
+            tests,
+        )
+
+    def tests(x: Column) -> Column:
+        codes, n, squares, mean, kind = x["codes"], x["n"], x["squares"], x["mean"], x["kind"]
+        k = kind["k"]
         chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         high = F.size(F.filter(codes, lambda v: v > k / 2)).cast("double")
-        turns = F.size(
+        crossings = F.size(
             F.filter(codes, lambda v, i: (i > 0) & ((v > k / 2) != (F.get(codes, i - 1) > k / 2)))
         ).cast("double")
         wanted = 2 * high * (n - high) / n + 1
-        spread = F.sqrt(F.greatest((wanted - 1) * (wanted - 2) / (n - 1), F.lit(0.25)))
-        runs = (turns + 1 - wanted) / spread
-
-        def correlation(mean: Column) -> Column:
-            power = F.aggregate(codes, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-            pairs = F.aggregate(
-                F.sequence(F.lit(1), F.size(codes) - 1),
-                F.lit(0.0),
-                lambda s, i: s + (F.get(codes, i) - mean) * (F.get(codes, i - 1) - mean),
-            )
-            return (pairs / F.greatest(power, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-
-        serial = bound(F.aggregate(codes, F.lit(0.0), lambda s, v: s + v) / n, correlation)
-        least = F.least(_tail(-chi), 2 * _tail(-F.abs(runs)), 2 * _tail(-F.abs(serial)))
-        return F.struct(
-            n.cast("int").alias("n"),
-            _letter_counts(run).alias("counts"),
-            _gain(run).alias("gain"),
-            (3 * least >= TURNED_AWAY).alias("random"),
+        runs = (crossings + 1 - wanted) / F.sqrt(F.greatest((wanted - 1) * (wanted - 2) / (n - 1), F.lit(0.25)))
+        power = F.aggregate(codes, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+        products = F.aggregate(
+            F.sequence(F.lit(1), F.size(codes) - 1),
+            F.lit(0.0),
+            lambda s, i: s + (F.get(codes, i) - mean) * (F.get(codes, i - 1) - mean),
         )
+        serial = products / F.greatest(power, F.lit(1e-9)) + 1 / n
+        scores = F.struct(n.alias("n"), squares.alias("squares"), chi.alias("chi"), runs.alias("runs"), serial.alias("serial"))
+        return bound(F.struct(scores.alias("of"), kind.alias("kind")), decide)
+
+    def decide(x: Column) -> Column:
+        of, kind = x["of"], x["kind"]
+        n, root = of["n"], F.sqrt(of["n"])
+        least = F.least(
+            _tail(-of["chi"]), 2 * _tail(-F.abs(of["runs"])), 2 * _tail(-F.abs(of["serial"] * root))
+        )
+        pairs, same, turn = n * (n - 1) / 2, kind["same"], kind["turn"]
+        spread = F.sqrt(pairs * same * (1 - same) + n * (n - 1) * (n - 2) * UNEVEN * same * same)
+        equal = ((of["squares"] - n) / 2 - pairs * same) / spread
+        turned = (_turns(run, kind) - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
+        logs = (
+            _alphabet_fit(run, kind)
+            + _log_tail(equal)
+            + F.when(kind["letters"], _log_tail(turned)).otherwise(_log_tail(-turned))
+            + F.when(kind["letters"], _log_tail((ORDINARY_SERIAL - of["serial"]) * root)).otherwise(F.lit(0.0))
+        )
+        return bound(
+            -logs,
+            lambda total: F.struct(
+                kind["number"].alias("encoding"),
+                (3 * least >= TURNED_AWAY).alias("random"),
+                _level(total, kind["chances"], n).alias("level"),
+            ),
+        )
+
+    def _level(total: Column, chances: Column, n: Column) -> Column:
+        fisher = F.log(1 + total + F.when(chances == 3, total * total / 2).otherwise(F.lit(0.0))) - total
+        weight = F.log(F.least(n / FULL_WEIGHT, F.lit(1.0)))
+        level = F.floor((weight - fisher) / math.log(10) * BINS)
+        return F.least(F.greatest(level, F.lit(0)), F.lit(100 * BINS)).cast("int")
 
-    return bound(F.struct(F.split(run, "").alias("letters"), alphabet.alias("alphabet")), measure)
+    return bound(F.struct(F.split(run, "").alias("letters"), kind.alias("kind")), measure)
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_base`` and ``_runs``: the long runs of letters outside base spans, tested."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    mixed = lambda hit: hit.rlike("[0-9]") | hit.rlike("[a-z][^a-z]*[A-Z]")
     based = docs.withColumn("_base", base_spans(text)).withColumn("_found", placed(text, RUN))
     free = F.filter(
         "_found",
@@ -183,71 +260,39 @@ def _scanned(docs: DataFrame) -> DataFrame:
     return based.withColumn(
         "_runs",
         F.transform(
-            free,
-            lambda x: F.struct(
-                x["start"].alias("start"),
-                x["stop"].alias("stop"),
-                mixed(x["hit"]).alias("mixed"),
-                _tested(x["hit"]).alias("test"),
-            ),
+            free, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), _tested(x["hit"]).alias("test"))
         ),
     ).drop("_found")
 
 
 class Levels:
-    """What the whole corpus says: the letters of ordinary long words, and the chance up to which strings are reported.
-
-    Ordinary are the long runs in one case without digits.  A mixed one's chance is how much likelier it is as an
-    ordinary string than as a uniform one over its inferred encoding, given which of its places are letters and digits:
-    an ordinary string has a chance of at most x with a probability of at most x.  As ordinary letters depend on each
-    other, the logarithms are divided by what keeps all but ``STRAY`` of the ordinary runs to that.  Long strings weigh
-    more, by length against the mean.  Among all mixed runs, chances are then cut so that at most ``FALSE_SHARE`` of the
-    reported are expected to be ordinary.  What is collected is small: a row of shares, and a row for each bin.
+    """For each encoding, the least level at which a run is reported: its false-discovery control.
+
+    Among all runs of an encoding, the chances are cut so that at most ``FALSE_SHARE`` of the reported are expected to be
+    ordinary (Benjamini and Hochberg; weights are at most 1, which keeps the bound).  Runs of one encoding don't move
+    the cut of another, and more random runs only make it looser.  What is collected is a row for each bin.
     """
 
     def __init__(self, runs: DataFrame) -> None:
-        own = runs.select("mixed", "test.*")
-        plain = own.where("NOT mixed").withColumn("all", F.aggregate("counts", F.lit(0), lambda s, c: s + c)).where("all > 0")
-        # whole numbers: sums don't depend on the order of rows
-        shares = [F.sum(F.floor(1e6 * F.get("counts", F.lit(i)) / F.col("all"))) for i in range(26)]
-        ordinary, *sums = plain.agg(F.count("*"), *shares).first()
-        total_share = ordinary + ENOUGH * sum(ORDINARY)
-        self.weights = [math.log(total_share / (26 * ((x or 0) / 1e6 + ENOUGH * y))) for x, y in zip(sums, ORDINARY)]
-        self.divisor = 1.0
-        if ordinary >= ENOUGH:
-            level = F.least(F.floor(self.evidence(F.col("counts"), F.lit(0.0)) * BINS), F.lit(1000 * BINS))
-            levels = plain.where("random").groupBy(level.alias("level")).count().where("level > 0").collect()
-            above = 0
-            for r in sorted(levels, key=lambda r: -r["level"]):
-                above += r["count"]
-                if above > STRAY * ordinary:
-                    self.divisor = max(1.0, (r["level"] + 1) / BINS / -math.log(STRAY))
-                    break
-        total, mean = own.where("mixed").agg(F.count("*"), F.avg("n")).first()
-        self.mean_length = mean or 1.0
-        bins = own.where("mixed AND random").groupBy(self.bin(F.struct("n", "counts", "gain")).alias("bin")).count().collect()
-        counts = {r["bin"]: r["count"] for r in bins}
-        self.lowest_bin = None
-        reached = 0
-        for b in range(max(counts, default=-1), -1, -1):
-            reached += counts.get(b, 0)
-            if reached and 10 ** (-b / BINS) * total <= FALSE_SHARE * reached:
-                self.lowest_bin = b
-
-    def evidence(self, counts: Column, gain: Column) -> Column:
-        """Logarithm of the likelihood as a uniform string over that as an ordinary one."""
-        weighed = F.zip_with(counts, F.array(*map(F.lit, self.weights)), lambda c, w: c * w)
-        return F.aggregate(weighed, gain, lambda s, x: s + x)
-
-    def bin(self, test: Column) -> Column:
-        logarithm = self.evidence(test["counts"], test["gain"]) / (self.divisor * math.log(10))
-        logarithm += F.log10(test["n"] / F.lit(self.mean_length))
-        return F.least(F.floor(F.greatest(logarithm, F.lit(0.0)) * BINS), F.lit(100 * BINS)).cast("int")
+        total: dict[int, int] = {}
+        counts: dict[int, dict[int, int]] = {}
+        for r in runs.select("test.*").groupBy("encoding", "random", "level").count().collect():
+            total[r["encoding"]] = total.get(r["encoding"], 0) + r["count"]
+            if r["random"]:
+                counts.setdefault(r["encoding"], {})[r["level"]] = r["count"]
+        self.lowest: dict[int, int] = {}
+        for encoding, own in counts.items():
+            reached = 0
+            for level in range(max(own), -1, -1):
+                reached += own.get(level, 0)
+                if 10 ** (-level / BINS) * total[encoding] <= FALSE_SHARE * reached:
+                    self.lowest[encoding] = level
 
     def reported(self, run: Column) -> Column:
-        if self.lowest_bin is None:
-            return F.lit(False)
-        return run["mixed"] & run["test"]["random"] & (self.bin(run["test"]) >= self.lowest_bin)
+        high = F.lit(False)
+        for encoding, level in sorted(self.lowest.items()):
+            high |= (run["test"]["encoding"] == encoding) & (run["test"]["level"] >= level)
+        return run["test"]["random"] & high
 
 
 def _all_spans(levels: Levels) -> Column:
