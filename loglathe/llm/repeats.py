@@ -20,8 +20,8 @@ GRAM = 20
 _SPREAD = LENGTH - GRAM + 1  # grams in a string
 _WIDEST = LENGTH + _SPREAD - 1  # bytes of the strings of one sampled position
 #: Bytes that are sampled at a time, bytes of which the sampled positions are held, runs whose strings are.
-SLICE = 1 << 19
-PART_BYTES = 1 << 23
+SLICE = 1 << 17
+PART_BYTES = 1 << 22
 _TOGETHER = 1 << 12
 
 
