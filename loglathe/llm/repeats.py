@@ -21,8 +21,10 @@ _SPREAD = LENGTH - GRAM + 1  # grams in a string
 _WIDEST = LENGTH + _SPREAD - 1  # bytes of the strings of one sampled position
 #: Bytes that are sampled at a time, bytes of which the sampled positions are held, runs whose strings are.
 SLICE = 1 << 17
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 23
 _TOGETHER = 1 << 12
+#: Runs that are sorted and named at a time, whole grams.
+_SORTED = 1 << 15
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -245,7 +247,17 @@ def _compared(parts: int):
     """The strings of each gram: equal runs by name, the others sorted string by string; neighbours are compared."""
 
     def step(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        gram, doc, tag, start, count, content = _read(blobs, (*_ENTRY, f"V{_WIDEST}"))
+        columns = _read(blobs, (*_ENTRY, f"V{_WIDEST}"))
+        blobs.clear()
+        order = np.argsort(columns[0], kind="stable")
+        edges = columns[0][order]
+        low = 0
+        while low < len(order):
+            high = int(np.searchsorted(edges, edges[min(low + _SORTED, len(edges)) - 1], "right"))
+            yield from named(*(c[order[low:high]] for c in columns))
+            low = high
+
+    def named(gram, doc, tag, start, count, content) -> Iterator[pa.RecordBatch]:
         words = np.ascontiguousarray(np.pad(content, ((0, 0), (0, -_WIDEST % 8)))).view(">u8").astype(np.uint64)
         order = np.lexsort((doc, *words.T[::-1], count, gram))
         gram, doc, tag, start, count = (c[order] for c in (gram, doc, tag, start, count))
@@ -349,7 +361,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tables = Tables(spark, "repeats")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = _prime(2 * tasks)
+    parts = _prime(4 * tasks)
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
