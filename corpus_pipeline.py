@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loglathe.llm.mixing import mixed_documents
 from loglathe.llm.near_dedup import near_duplicates
@@ -21,10 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; one row of each id, all rows without one."""
+    """Of each group of near duplicates the rows with the smallest id, equal texts of one id once.
+
+    Rows that share an id but not a text are one document: they stay or go together.  Rows without an id all stay.
+    """
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    packed, back = set_apart(docs, ("doc_id", "text"))
+    named = packed.join(kept, "doc_id", "left_semi").withColumn("text_key", F.xxhash64("text"))
+    return back(named.dropDuplicates(["doc_id", "text_key"]).drop("text_key").unionByName(packed.where("doc_id IS NULL")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

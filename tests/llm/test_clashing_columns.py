@@ -41,3 +41,17 @@ def test_users_columns_stay(table, tmp_path, stage):
     rows = done.collect()
     assert {r["doc_id"] for r in rows} == set(range(12))
     assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in NAMES)
+
+
+def test_near_dedup_stage_loses_no_text_of_an_id(spark):
+    import corpus_pipeline
+
+    words = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(4)]
+    rows = [(1, words[0], "a"), (1, words[1], "b"), (1, words[0], "c"), (2, words[1], "d"), (3, words[2], "e"),
+            (None, words[3], "f"), (None, words[3], "g"), (4, "", "h"), (5, None, "i")]
+    docs = spark.createDataFrame([(i, t, x, x) for i, t, x in rows], "doc_id long, text string, apart string, text_key string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted(
+        [(1, words[0]), (1, words[1]), (3, words[2]), (0, words[3]), (0, words[3]), (4, ""), (5, "")]
+    )
