@@ -527,7 +527,7 @@ def sql() -> dict[str, str]:
     over("w6_json_lines", [*EVENTS, FIRST], f"SELECT CASE WHEN review_flag THEN 'review' ELSE 'confident' END AS sink, {jsonl} AS value FROM first")
     over("w7_cef_text", [*EVENTS, FIRST], f"SELECT {_CEF} AS value FROM first WHERE NOT review_flag")
     over("w8_stream", [*EVENTS, FIRST], "SELECT CASE WHEN review_flag THEN 'review' ELSE 'confident' END AS sink, event_hash, message, format_hint FROM first")
-    for key in ("w8_restart", "w8_after_batch", "w6_lost_run"):
+    for key in ("w8_restart", "w8_within", "w8_after_batch", "w6_lost_run"):
         out[key] = out["w8_stream"]
     over("w5_ocsf_dedup", [*EVENTS, FIRST], "SELECT event_hash FROM first WHERE NOT review_flag")
     over("w2_retry", BASE, "SELECT DISTINCT 'confident' AS sink, sha256(raw) AS event_hash, CAST(len(raw) AS VARCHAR) AS message, fmt AS format_hint FROM d "

@@ -420,6 +420,20 @@ def w8_restart(spark, sf):
     return _sink_events(spark, sinks)
 
 
+@query
+def w8_within(spark, sf):
+    """The lines twice in one stream, the second time in reverse, that is held together by streaming state alone."""
+    sinks, lines = Sinks.under(work_path(spark, "within")), c.event_lines(spark, sf)
+    again = lines.withColumn("line_id", -F.col("line_id"))
+    path, checkpoint = _line_files(spark, lines), work_path(spark, "offsets")
+    stream = files.read_lines(spark, path, streaming=True, maxFilesPerTrigger=4)
+    run_stream(stream, sinks, checkpoint, ingest_ts=NOW, dedup_within="2 hours").awaitTermination()
+    again.select("raw").coalesce(4).write.mode("append").text(path)
+    stream = files.read_lines(spark, path, streaming=True, maxFilesPerTrigger=4)
+    run_stream(stream, sinks, checkpoint, ingest_ts=NOW, dedup_within="2 hours").awaitTermination()
+    return _sink_events(spark, sinks)
+
+
 @query
 def w8_after_batch(spark, sf):
     """A batch run over a third of the lines, then a stream over all."""

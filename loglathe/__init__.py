@@ -25,7 +25,7 @@ from .sources.files import (
     read_objects,
     take_objects,
 )
-from .streaming.run import frame_chunk_stream, run_stream
+from .streaming.run import distinct_within, frame_chunk_stream, run_stream
 
 __all__ = [
     "HashIndex",
@@ -57,6 +57,7 @@ __all__ = [
     "retry_failed",
     "route",
     "run_batch",
+    "distinct_within",
     "run_stream",
     "source_counts",
     "split_text",
