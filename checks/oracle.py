@@ -576,7 +576,7 @@ def sql() -> dict[str, str]:
         ("l", "SELECT conn_id, unnest(string_split(text, chr(10))) AS raw FROM w"),
     ]
     over("s10_frame_chunks", conns, f"SELECT conn_id, {strip('raw')} AS raw FROM l WHERE {strip('raw')} <> ''")
-    out["s10_chunk_stream"] = out["s10_frame_chunks"]
+    out["s10_chunk_stream"] = out["s10_open_connections"] = out["s10_frame_chunks"]
     over("s11_union_sources", only_lines, "SELECT CASE WHEN source = 'events' THEN 'FileConnector' ELSE source END AS source, raw FROM lines")
     out["s13_decode"] = (
         "SELECT doc_id, 'utf16' AS kind, text FROM documents UNION ALL SELECT doc_id, 'broken', text || chr(65533) FROM documents "

@@ -23,6 +23,7 @@ from loglathe.plans.sinks import Sinks, _write_run, route, run_batch, to_cef, to
 from loglathe.schema import EVENT_COLUMNS
 from loglathe.sources import files
 from loglathe.sources.config import union_sources
+from loglathe.streaming.connections import STORE, STORE_SETTING, frame_connections
 from loglathe.streaming.run import flush_open, frame_chunk_stream, run_stream
 
 from . import corpus as c
@@ -727,3 +728,26 @@ def s10_chunk_stream(spark, sf):
     last = tails.join(tails.agg(F.max("batch_id").alias("batch_id")), "batch_id")
     done = spark.read.schema("conn_id LONG, raw STRING").parquet(f"{out}/batch_id=*")
     return done.unionByName(flush_open(last.select("conn_id", "tail")))
+
+
+@query
+def s10_open_connections(spark, sf):
+    """Chunks in three files and then the end of every connection, framed by keyed state."""
+    path, out = work_path(spark, "chunks"), work_path(spark, "framed")
+    chunks = c.chunks(spark, sf)
+    third = F.ntile(3).over(Window.partitionBy("conn_id").orderBy("seq"))
+    for part in (1, 2, 3):
+        some = chunks.withColumn("t", third).where(F.col("t") == part).drop("t")
+        some.coalesce(1).write.mode("append").parquet(path)
+    ends = chunks.groupBy("conn_id").agg(F.max("seq").alias("seq")).withColumn("payload", F.lit(None).cast("binary"))
+    ends.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    before = spark.conf.get(STORE_SETTING)
+    spark.conf.set(STORE_SETTING, STORE)
+    try:
+        lines = frame_connections(stream).select("conn_id", "raw")
+        to = lines.writeStream.option("checkpointLocation", work_path(spark, "offsets")).trigger(availableNow=True)
+        to.format("parquet").start(out).awaitTermination()
+    finally:
+        spark.conf.set(STORE_SETTING, before)
+    return spark.read.schema("conn_id LONG, raw STRING").parquet(out)

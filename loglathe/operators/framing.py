@@ -34,6 +34,25 @@ def split_chunks(chunks: DataFrame, conn: str, seq: str, payload: str) -> DataFr
     )
 
 
+def inner_lines(cut: DataFrame, encoding: str, errors: str) -> DataFrame:
+    """Lines that begin and end inside one chunk of ``split_chunks``, by projections alone."""
+    count = F.size("pieces")
+    return (
+        cut.where(count > 2)
+        .select(
+            "conn_id",
+            F.col("seq").alias("after_seq"),
+            F.posexplode(F.slice("pieces", F.lit(2), count - 2)).alias("_pos", "_piece"),
+        )
+        .select(
+            "conn_id",
+            "after_seq",
+            (F.col("_pos") + 1).alias("after_idx"),
+            _to_line(F.col("_piece"), encoding, errors).alias("raw"),
+        )
+    )
+
+
 def chunk_anchors(cut: DataFrame, block: int = BLOCK_CHUNKS) -> DataFrame:
     """Add ``anchor``: the last earlier chunk of the connection that holds a line feed, null when there is none.
 
@@ -82,20 +101,7 @@ def frame_chunks(
     """
     cut = split_chunks(chunks, conn, seq, payload)
     count = F.size("pieces")
-    inner = (
-        cut.where(count > 2)
-        .select(
-            "conn_id",
-            F.col("seq").alias("after_seq"),
-            F.posexplode(F.slice("pieces", F.lit(2), count - 2)).alias("_pos", "_piece"),
-        )
-        .select(
-            "conn_id",
-            "after_seq",
-            (F.col("_pos") + 1).alias("after_idx"),
-            _to_line(F.col("_piece"), encoding, errors).alias("raw"),
-        )
-    )
+    inner = inner_lines(cut, encoding, errors)
     ends = cut.select(
         "conn_id",
         "seq",
