@@ -1,4 +1,4 @@
-"""MinHash near-duplicate removal: banded signatures propose families, full shingle sets decide."""
+"""MinHash near-duplicate removal: an LSH forest proposes families, full shingle sets decide."""
 
 from __future__ import annotations
 
@@ -15,25 +15,24 @@ from loglathe.llm.components import components
 from loglathe.llm.tables import Tables
 from loglathe.llm.words import shingle_sets, slices, text_bytes
 
-#: Values that two signatures have to share at the start of a sorted order to be neighbours at all.
-MIN_DEPTH = 5
-#: Values by which a sorted order is sorted; those beyond ``MIN_DEPTH`` only order the rows.
-KEY_DEPTH = 16
+#: Values that neighbours in a sorted order have to share at its start; each is for the families that the one before
+#: left crowded, with as many orders as keep ``MISS``.
+DEPTHS = (5, 7, 9)
 #: Chance that a pair just at the threshold meets in no order.
 MISS = 1e-6
-#: Shingles of one block of a family that is compared at a time.
+#: Shingles of one block of a family that is compared at a time; a family that holds more is crowded.
 BLOCK_SHINGLES = 250_000
 
 _CHUNK = 512
 
 
-def forest_size(share: float) -> int:
+def forest_size(share: float, depth: int) -> int:
     """Sorted orders needed so that a pair of that similarity is missed by all of them with chance ``MISS`` at most."""
-    return math.ceil(math.log(MISS) / math.log(1 - share**MIN_DEPTH))
+    return math.ceil(math.log(MISS) / math.log(1 - share**depth))
 
 
-def _signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
-    rng = np.random.default_rng(11)
+def _signatures(sets: list[np.ndarray], values: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
     factor = (rng.integers(0, 1 << 32, values, dtype=np.uint32) | np.uint32(1))[:, None]
     shift = rng.integers(0, 1 << 32, values, dtype=np.uint32)[:, None]
     out = np.empty((len(sets), values), np.uint32)
@@ -52,57 +51,123 @@ def _signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
     return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def _sketch(width: int, values: int):
+def _sketch(width: int, values: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            ids = batch.column("doc_id")
+            named = batch.select([c for c in batch.schema.names if c != "text"])
             for i, j in slices(offsets):
                 part = offsets[i : j + 1]
                 sets = shingle_sets(data[part[0] : part[-1]], part - part[0], width)
-                marks = _signatures(sets, values)
+                marks = _signatures(sets, values, seed)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(i, j - i),
+                        *named.slice(i, j - i).columns,
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([m.tobytes() if len(s) else None for s, m in zip(sets, marks)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "signature"],
+                    [*named.schema.names, "n_shingles", "set_key", "signature"],
                 )
 
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links along a sorted order, and the partition's first and last row (with their prefix) for the seams."""
-    wide = 1 + 2 * MIN_DEPTH
-    head_key = head_node = None
-    last = None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        raw, _ = text_like(batch.column("key"), 1 + 2 * KEY_DEPTH)
-        prefix = np.ascontiguousarray(raw[:, :wide]).view(f"V{wide}").ravel()
-        nodes = batch.column("node").to_numpy()
-        fresh = np.empty(n, bool)
-        fresh[1:] = prefix[1:] != prefix[:-1]
-        fresh[0] = head_key is None or prefix[0].tobytes() != head_key
-        at = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
-        heads = np.where(at >= 0, nodes[at], head_node if head_node is not None else 0)
-        linked = heads != nodes
-        if last is None:
-            yield _seam(nodes[0], prefix[0].tobytes())
-        if linked.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(heads[linked]), pa.array(nodes[linked]), pa.nulls(int(linked.sum()), pa.binary())],
-                ["a", "b", "prefix"],
-            )
-        head_key, head_node = prefix[-1].tobytes(), heads[-1]
-        last = (nodes[-1], head_key)
-    if last is not None:
-        yield _seam(*last)
+def _neighbours(width: int):
+    """Links along a sorted order, and the partition's first and last row (with their key) for the seams.
+
+    Rows that are next to each other and whose common prefix has the order's depth are linked, by way of the first row
+    of their run; keys are as long as that depth.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_key = head_node = None
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            raw, _ = text_like(batch.column("key"), width)
+            keys = np.ascontiguousarray(raw).view(f"V{width}").ravel()
+            nodes = batch.column("node").to_numpy()
+            fresh = np.empty(n, bool)
+            fresh[1:] = keys[1:] != keys[:-1]
+            fresh[0] = head_key is None or keys[0].tobytes() != head_key
+            at = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+            heads = np.where(at >= 0, nodes[at], head_node if head_node is not None else 0)
+            linked = heads != nodes
+            if last is None:
+                yield _seam(nodes[0], keys[0].tobytes())
+            if linked.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(heads[linked]), pa.array(nodes[linked]), pa.nulls(int(linked.sum()), pa.binary())],
+                    ["a", "b", "prefix"],
+                )
+            head_key, head_node = keys[-1].tobytes(), heads[-1]
+            last = (nodes[-1], head_key)
+        if last is not None:
+            yield _seam(*last)
+
+    return run
+
+
+def _tree_families(tables: Tables, signed: DataFrame, trees: int, depth: int) -> DataFrame:
+    """``(node, root)`` of the rows that some sorted order of ``signed (node, family, signature)`` makes neighbours.
+
+    Neighbours are of one ``family``; ``root`` is the smallest node of those that neighbours lead to.
+    """
+    orders = signed.select(
+        "node", "family", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    ).select(
+        F.expr(
+            f"concat(unhex(lpad(hex(tree), 4, '0')), unhex(lpad(hex(family), 16, '0')),"
+            f" substring(signature, tree * {2 * depth} + 1, {2 * depth}))"
+        ).alias("key"),
+        "node",
+    )
+    found = tables.write(
+        orders.repartitionByRange("key", "node")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(_neighbours(10 + 2 * depth), "a long, b long, prefix binary")
+    )
+    seams = found.where("prefix IS NOT NULL").select("a", "prefix")
+    heads = seams.groupBy("prefix").agg(F.min("a").alias("b"))
+    candidates = found.where("b IS NOT NULL").select("a", "b").unionByName(seams.join(heads, "prefix").select("a", "b"))
+    families = tables.write(components(tables, candidates))
+    tables.drop(found)
+    return families
+
+
+def _families(tables: Tables, given: DataFrame, sets: DataFrame, width: int, share: float) -> DataFrame:
+    """``(node, root, blocks)``: the families of the forest, and the blocks in which each is compared.
+
+    Each family that is crowded at one depth is taken apart by the next, in orders of fresh values, as many as that
+    depth needs.  What is crowded at the last depth stays whole.
+    """
+    signed = sets.select("node", F.lit(0).cast("long").alias("family"), "signature")
+    ready = None
+    for at, depth in enumerate(DEPTHS):
+        trees = forest_size(share, depth)
+        if at:
+            texts = given.withColumnRenamed("doc_id", "node").join(crowded.select("node", "family"), "node")
+            schema = "node long, family long, n_shingles long, set_key binary, signature binary"
+            signed = texts.select("node", "family", "text").mapInArrow(
+                _sketch(width, trees * depth, 11 + at), schema
+            ).where("n_shingles > 0")
+        families = _tree_families(tables, signed, trees, depth)
+        weights = (
+            sets.join(families, "node")
+            .groupBy("root")
+            .agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        )
+        weighed = tables.write(families.join(weights, "root").select("node", "root", "blocks"))
+        if at + 1 < len(DEPTHS):
+            crowded = weighed.where("blocks > 1").withColumnRenamed("root", "family")
+            weighed = weighed.where("blocks = 1")
+        ready = weighed if ready is None else ready.unionByName(weighed)
+        if at + 1 < len(DEPTHS) and crowded.isEmpty():
+            break
+    return ready
 
 
 def text_like(column: pa.Array, width: int) -> tuple[np.ndarray, int]:
@@ -214,12 +279,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     smallest ``doc_id`` that links lead to, ``kept`` marks the document that has it.
 
     1. One pass over the texts makes each set's size, digest and MinHash signature.  Equal sets go on as one.
-    2. Banding at one fixed depth: the signatures are sorted in several orders, each beginning with other values.  All
-       rows that agree in the first ``MIN_DEPTH`` of an order are linked to the first of them; the values up to
-       ``KEY_DEPTH`` only order them.  Depth does not grow in crowded regions, so families may chain together there and
-       cost more comparisons; the result stays exact on the candidates.  The global sort splits crowded regions over tasks.
-    3. Documents that neighbours connect form a family.  Its texts meet once, in blocks of bounded size (all pairs of
-       blocks of a family above that), and links are decided on the full sets.
+    2. The signatures are sorted in several orders, each by other values.  Neighbours in an order whose longest common
+       prefix reaches the first of ``DEPTHS`` are candidates, and those that they connect form a family.
+    3. Depth grows where it has to: the members of a family that holds more than ``BLOCK_SHINGLES`` get fresh, longer
+       signatures and are sorted again, in more orders and to the next depth, which splits families that only chance or
+       common passages hold together.  At every depth a pair at the threshold meets but for a chance of ``MISS``.
+       A family's texts meet once, in blocks of bounded size (all pairs of blocks of what is crowded at the last depth),
+       and links are decided on the full sets.
     4. Verified links give the components.
 
     Empty texts and nulls have no shingles and link with nothing.  Rows that share a ``doc_id`` are one document for the
@@ -227,11 +293,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     """
     spark = docs.sparkSession
     tables = Tables(spark, "near-dedup")
-    trees = forest_size(num / den)
-    values = trees * MIN_DEPTH
+    values = forest_size(num / den, DEPTHS[0]) * DEPTHS[0]
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = tables.write(
-        given.mapInArrow(_sketch(width, values), "doc_id long, n_shingles long, set_key binary, signature binary")
+        given.mapInArrow(_sketch(width, values, 11), "doc_id long, n_shingles long, set_key binary, signature binary")
     )
     named = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     sets = tables.write(
@@ -239,38 +304,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
         )
     )
-    orders = sets.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
-        F.expr(
-            f"concat(unhex(lpad(hex(tree), 2, '0')), substring(concat(signature, signature), tree * {2 * MIN_DEPTH} + 1,"
-            f" {2 * KEY_DEPTH}))"
-        ).alias("key"),
-        "node",
-    )
-    found = tables.write(
-        orders.repartitionByRange("key", "node")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(_neighbours, "a long, b long, prefix binary")
-    )
-    seams = found.where("prefix IS NOT NULL").select("a", "prefix")
-    heads = seams.groupBy("prefix").agg(F.min("a").alias("b"))
-    candidates = found.where("b IS NOT NULL").select("a", "b").unionByName(seams.join(heads, "prefix").select("a", "b"))
-    families = tables.write(components(tables, candidates))
-
-    weights = (
-        sets.join(families, "node")
-        .groupBy("root")
-        .agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    )
+    texts = given.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    families = _families(tables, texts, sets, width, num / den)
     members = (
         sets.select("node", "set_key")
         .join(families, "node")
-        .join(weights, "root")
         .select("node", "set_key", F.col("root").alias("family"), "blocks")
         .withColumn("block", F.expr("CAST(pmod(xxhash64(set_key, 5), blocks) AS INT)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     )
     compared = (
-        members.join(given.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "node"), "node")
+        members.join(texts.withColumnRenamed("doc_id", "node"), "node")
         .select(
             "family",
             F.least("block", "other").alias("low"),
@@ -288,7 +332,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         F.col("doc_id").alias("a"), F.col("node").alias("b")
     )
     roots = components(tables, verified.unionByName(copies)).withColumnRenamed("node", "doc_id")
-    tables.drop(found)
     return (
         sketches.select("doc_id", "n_shingles")
         .join(roots, "doc_id", "left")

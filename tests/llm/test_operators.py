@@ -91,6 +91,35 @@ def test_blocks_of_a_large_family_lose_no_link(docs, rows, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()} == whole
 
 
+def test_crowded_families_are_taken_apart_by_depth(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = " ".join(f"common{i}" for i in range(60))
+    made = []
+    for i in range(30):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(55)]
+        made += [(2 * i, f"{passage} {' '.join(own)}"), (2 * i + 1, f"{passage} {' '.join(own[:-1])} other")]
+    given = spark.createDataFrame(made, "doc_id BIGINT, text STRING")
+    texts = {i: shingles(t, 5) for i, t in made}
+    assert max(len(texts[0] & texts[i]) / len(texts[0] | texts[i]) for i in range(2, 60)) < 0.5
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
+
+    def sizes(depths):
+        monkeypatch.setattr(near_dedup, "DEPTHS", depths)
+        seen = []
+        plain = near_dedup._families
+        monkeypatch.setattr(near_dedup, "_families", lambda *a: seen.append(plain(*a)) or seen[0])
+        roots = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(given).collect()}
+        monkeypatch.setattr(near_dedup, "_families", plain)
+        assert roots == {i: i - i % 2 for i in range(60)}
+        families = {}
+        for r in seen[0].collect():
+            families.setdefault(r["root"], set()).add(r["node"])
+        assert all(any({2 * i, 2 * i + 1} <= f for f in families.values()) for i in range(30))
+        return max(map(len, families.values()))
+
+    assert sizes((5, 9, 14)) < sizes((5,)) / 2
+
+
 def test_toxicity_learns_pairs_and_generalizes(spark, none):
     rng = random.Random(1)
     plain, labels = [], []
