@@ -170,8 +170,11 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conn_id, seq, payload``: object bytes cut every 37 bytes, and one connection per document."""
+def chunks(spark: SparkSession, sf_dir: str, thirds: bool = False) -> DataFrame:
+    """``conn_id, seq, payload``: object bytes cut every 37 bytes, and one connection per document.
+
+    With ``thirds`` also ``t``, 0 to 2, which grows with ``seq`` in each connection: thirds of a document, and of all objects.
+    """
     lines = _sql(spark, sf_dir, _OBJECT_LINES_SQL)
     listed = lines.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "raw"))).alias("ls"))
     plain = listed.select(
@@ -182,13 +185,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         (F.col("doc_id") + 1000).alias("conn_id"), F.lit(0).cast("long").alias("base"), "text"
     )
-    hexed = plain.unionByName(docs).withColumn("h", F.hex(F.encode("text", "utf-8"))).where("h <> ''")
-    last = F.floor((F.length("h") - 1) / (2 * CHUNK_BYTES)).cast("int")
-    return hexed.select("conn_id", "base", "h", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
-        "conn_id",
-        (F.col("base") + F.col("i")).alias("seq"),
-        F.unhex(F.substring("h", F.col("i") * 2 * CHUNK_BYTES + 1, F.lit(2 * CHUNK_BYTES))).alias("payload"),
-    )
+    # parts of bytes are taken in place; in a text, every part is looked for from its beginning
+    coded = plain.unionByName(docs).withColumn("b", F.encode("text", "utf-8")).where(F.length("b") > 0)
+    last = F.floor((F.length("b") - 1) / CHUNK_BYTES).cast("int")
+    seq = (F.col("base") + F.col("i")).alias("seq")
+    payload = F.substring("b", F.col("i") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)).alias("payload")
+    cut = coded.select("conn_id", "base", "b", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    if not thirds:
+        return cut.select("conn_id", seq, payload)
+    objects_ = lines.agg(F.coalesce(F.max("object_id"), F.lit(0)) + 1).first()[0]
+    in_text = F.floor(3 * F.col("i") / (last + 1))
+    of_objects = F.floor(3 * F.col("base") / F.lit(100000 * objects_))
+    third = F.when(F.col("conn_id") < 1000, of_objects).otherwise(in_text)
+    return cut.select("conn_id", seq, payload, third.cast("int").alias("t"))
 
 
 def datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -710,20 +710,34 @@ def _user_of_any():
     return F.regexp_extract("file_path", r"user_id=(-?\d+)", 1).cast("long").alias("user_id")
 
 
+def _in_thirds(spark, sf) -> tuple[str, list]:
+    """A folder, and three steps, each of which adds a third of the chunks to it as one more folder."""
+    path, parts = work_path(spark, "chunks"), work_path(spark, "parts")
+    c.chunks(spark, sf, thirds=True).write.partitionBy("t").parquet(parts)
+    schema = "conn_id LONG, seq LONG, payload BINARY"
+
+    def adding(k: int):
+        third = spark.read.schema(schema + ", t INT").parquet(parts).where(F.col("t") == k)
+        return lambda: third.drop("t").write.mode("append").parquet(path)
+
+    spark.createDataFrame([], schema).write.parquet(path)
+    return path, [adding(k) for k in range(3)]
+
+
 @query
 def s10_chunk_stream(spark, sf):
-    """Chunks in three files, one after the other; lines of the micro-batches and, at the end, of what is still open."""
-    path, out, open_path = (work_path(spark, n) for n in ("chunks", "framed", "open"))
-    chunks = c.chunks(spark, sf)
-    third = F.ntile(3).over(Window.partitionBy("conn_id").orderBy("seq"))
-    for k, part in enumerate((1, 2, 3)):
-        chunks.withColumn("t", third).where(F.col("t") == part).drop("t").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """Chunks that come in three parts, one after the other; lines of the micro-batches and, at the end, of what is still
+    open.  The stream goes on for each part where it left off."""
+    out, open_path, offsets = (work_path(spark, n) for n in ("framed", "open", "offsets"))
+    path, steps = _in_thirds(spark, sf)
 
     def write(lines: DataFrame, batch_id: int) -> None:
         lines.select("conn_id", "raw").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    frame_chunk_stream(stream, open_path, write, work_path(spark, "offsets")).awaitTermination()
+    for add in steps:
+        add()
+        stream = spark.readStream.schema("conn_id LONG, seq LONG, payload BINARY").parquet(path)
+        frame_chunk_stream(stream, open_path, write, offsets).awaitTermination()
     tails = spark.read.schema("conn_id LONG, tail BINARY, batch_id LONG").parquet(open_path)
     last = tails.join(tails.agg(F.max("batch_id").alias("batch_id")), "batch_id")
     done = spark.read.schema("conn_id LONG, raw STRING").parquet(f"{out}/batch_id=*")
@@ -732,22 +746,23 @@ def s10_chunk_stream(spark, sf):
 
 @query
 def s10_open_connections(spark, sf):
-    """Chunks in three files and then the end of every connection, framed by keyed state."""
-    path, out = work_path(spark, "chunks"), work_path(spark, "framed")
-    chunks = c.chunks(spark, sf)
-    third = F.ntile(3).over(Window.partitionBy("conn_id").orderBy("seq"))
-    for part in (1, 2, 3):
-        some = chunks.withColumn("t", third).where(F.col("t") == part).drop("t")
-        some.coalesce(1).write.mode("append").parquet(path)
-    ends = chunks.groupBy("conn_id").agg(F.max("seq").alias("seq")).withColumn("payload", F.lit(None).cast("binary"))
-    ends.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """Chunks that come in three parts and then the end of every connection, framed by keyed state."""
+    out, offsets = work_path(spark, "framed"), work_path(spark, "offsets")
+    path, steps = _in_thirds(spark, sf)
+
+    def close() -> None:
+        ends = spark.read.parquet(path).groupBy("conn_id").agg(F.max("seq").alias("seq"))
+        ends.withColumn("payload", F.lit(None).cast("binary")).write.mode("append").parquet(path)
+
     before = spark.conf.get(STORE_SETTING)
     spark.conf.set(STORE_SETTING, STORE)
     try:
-        lines = frame_connections(stream).select("conn_id", "raw")
-        to = lines.writeStream.option("checkpointLocation", work_path(spark, "offsets")).trigger(availableNow=True)
-        to.format("parquet").start(out).awaitTermination()
+        for add in (*steps, close):
+            add()
+            stream = spark.readStream.schema("conn_id LONG, seq LONG, payload BINARY").parquet(path)
+            lines = frame_connections(stream).select("conn_id", "raw")
+            to = lines.writeStream.option("checkpointLocation", offsets).trigger(availableNow=True)
+            to.format("parquet").start(out).awaitTermination()
     finally:
         spark.conf.set(STORE_SETTING, before)
     return spark.read.schema("conn_id LONG, raw STRING").parquet(out)
