@@ -147,8 +147,9 @@ def extract_with(
         asked = build_prompt(detect(table), system_prompt).drop("hint")
         if parallelism:
             asked = asked.repartition(parallelism)
-        schema = T.StructType([*asked.schema.fields, *ANSWER_FIELDS])
-        return asked.mapInPandas(_answering(fn), schema).drop("prompt")
+        # a prompt repeats the system text: it goes to the worker, but neither into results nor back
+        schema = T.StructType([*[f for f in asked.schema.fields if f.name != "prompt"], *ANSWER_FIELDS])
+        return asked.mapInPandas(_answering(fn), schema)
 
     if not once_per_line:
         return ask(lines)
@@ -181,7 +182,7 @@ def _answering(fn: Callable[[pd.DataFrame], pd.Series]) -> Extractor:
             except Exception:
                 answers = [ask_one(asked.iloc[i : i + 1]) for i in range(len(asked))]
             failed = [isinstance(answer, Exception) for answer in answers]
-            yield batch.assign(
+            yield batch.drop(columns="prompt").assign(
                 ai_response=[None if bad else answer for answer, bad in zip(answers, failed)],
                 error=[str(answer) if bad else None for answer, bad in zip(answers, failed)],
             )

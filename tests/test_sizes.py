@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import corpus
+from loglathe.operators import extraction
 from loglathe.streaming import connections
 
 
@@ -65,3 +66,9 @@ def test_a_connection_takes_few_round_trips_to_its_state():
     assert [tuple(f.iloc[0])[-1] for f in (*first, *last)] == [b"a", b"b"]
     assert one.began.value is None and not one.pieces.rows
     assert _State.calls <= 5  # eleven before
+
+
+def test_prompts_do_not_come_back_from_the_extractor():
+    asked = pd.DataFrame({"raw": ["a", "b"], "prompt": ["p" * 2000] * 2})
+    (found,) = extraction._answering(lambda batch: batch["prompt"].str.len().astype(str))(iter([asked]))
+    assert list(found.columns) == ["raw", "ai_response", "error"] and list(found["ai_response"]) == ["2000"] * 2
