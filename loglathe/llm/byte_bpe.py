@@ -123,16 +123,18 @@ def decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def _mapped(rows: DataFrame, keep: Sequence[str], source: str, field: T.StructField, work) -> DataFrame:
-    """``keep`` and a column that ``work`` (a maker of a function of bytes) makes of the bytes of ``source``."""
-    if field.name in keep:
-        raise ValueError(f"the new column {field.name!r} is also among those to keep")
+def _mapped(rows: DataFrame, keep: Sequence[str], source: str, fields: Sequence[T.StructField], work) -> DataFrame:
+    """``keep`` and the columns that ``work`` (a maker of a function of bytes to a tuple) makes of the bytes of ``source``."""
+    names = [f.name for f in fields]
+    for name in names:
+        if name in keep:
+            raise ValueError(f"the new column {name!r} is also among those to keep")
     own = "_source"
     while own in keep:
         own += "_"
     given = rows.select(*keep, F.coalesce(F.col(source).cast("binary"), F.lit(b"")).alias(own))
-    schema = T.StructType([*(given.schema[c] for c in keep), field])
-    kind = pa.binary() if isinstance(field.dataType, T.BinaryType) else pa.string()
+    schema = T.StructType([*(given.schema[c] for c in keep), *fields])
+    kinds = [pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.string() for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = work()
@@ -140,16 +142,14 @@ def _mapped(rows: DataFrame, keep: Sequence[str], source: str, field: T.StructFi
             column = batch.column(batch.schema.get_field_index(own))
             others = [batch.column(batch.schema.get_field_index(c)) for c in keep]
 
-            def closed(begin: int, done: list[bytes]) -> pa.RecordBatch:
-                made = pa.array(done, kind) if kind == pa.binary() else pa.array(done, pa.binary()).cast(kind)
-                return pa.RecordBatch.from_arrays(
-                    [*(o.slice(begin, len(done)) for o in others), made], [*keep, field.name]
-                )
+            def closed(begin: int, done: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+                made = [pa.array(values, pa.binary()).cast(kind) for values, kind in zip(zip(*done), kinds)]
+                return pa.RecordBatch.from_arrays([*(o.slice(begin, len(done)) for o in others), *made], [*keep, *names])
 
             begin, size, done = 0, 0, []
             for value in column:
                 done.append(one(value.as_py()))
-                size += len(done[-1])
+                size += sum(map(len, done[-1]))
                 if size > BATCH_BYTES:
                     yield closed(begin, done)
                     begin, size, done = begin + len(done), 0, []
@@ -171,9 +171,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str], text:
 
     def work():
         coder = encoder(path, pattern)
-        return lambda data: coder.encode(data.decode("utf-8", "replace"))
+        return lambda data: (coder.encode(data.decode("utf-8", "replace")),)
 
-    return _mapped(docs, keep, text, T.StructField("ids", T.BinaryType()), work)
+    return _mapped(docs, keep, text, [T.StructField("ids", T.BinaryType())], work)
 
 
 def decode(rows: DataFrame, path: str, keep: Sequence[str], ids: str = "ids") -> DataFrame:
@@ -185,8 +185,27 @@ def decode(rows: DataFrame, path: str, keep: Sequence[str], ids: str = "ids") ->
     """
 
     def work():
-        return decoder(path).decode
+        back = decoder(path).decode
+        return lambda data: (back(data),)
 
-    return _mapped(rows, keep, ids, T.StructField("text", T.StringType()), work)
+    return _mapped(rows, keep, ids, [T.StructField("text", T.StringType())], work)
 
 
+def recode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """``keep``, ``ids`` and ``decoded``: ``encode``, and what ``decode`` makes of these ids, by one worker for each task.
+
+    One after the other, the two would hold two workers for each task.  Workers are used again for either, so that before
+    long all of them would hold the memory that encoding takes.  ``keep`` may hold neither new column.
+    """
+
+    def work():
+        coder, back = encoder(path, pattern), decoder(path).decode
+
+        def both(data: bytes) -> tuple[bytes, bytes]:
+            ids = coder.encode(data.decode("utf-8", "replace"))
+            return ids, back(ids)
+
+        return both
+
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    return _mapped(docs, keep, text, fields, work)

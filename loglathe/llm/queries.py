@@ -112,12 +112,12 @@ def _count(kind: int, name: str) -> Column:
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, public_tokenizers.PATTERN, keep=["doc_id"])
-    return byte_bpe.decode(ids, BYTE_TOKENIZER, keep=["doc_id", "ids"]).select(
+    docs = _table(spark, sf_dir, "documents")
+    return byte_bpe.recode(docs, BYTE_TOKENIZER, public_tokenizers.PATTERN, keep=["doc_id"]).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

@@ -44,7 +44,8 @@ class Transducer:
             raise ValueError("a byte-level vocabulary has all 256 bytes")
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
-        self.openings = {t[:n] for t in ranks for n in range(1, len(t))}
+        #: Beginnings of tokens, each by itself, so that states share them.
+        self.openings = {t[:n]: t[:n] for t in ranks for n in range(1, len(t))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self._forget()
 
@@ -100,8 +101,9 @@ class Transducer:
                 own = self.ranks.get(now, NOTHING)
                 if own != NOTHING and self._stays(before, own):
                     last = own
-            if now in self.openings:
-                places.append((now, before))
+            opening = self.openings.get(now)
+            if opening is not None:
+                places.append((opening, before))
         places.append((b"", last))
         found = self.steps[number << 8 | byte] = self._number(tuple(places)), last
         return found

@@ -152,3 +152,22 @@ def test_ids_and_bytes_that_stand_for_nothing(spark):
     broken = spark.sql("SELECT 1 AS k, CAST(X'61FF62' AS STRING) AS text")
     ids = byte_bpe.encode(broken, PATHS[0], PATTERN, ["k"])
     assert byte_bpe.decode(ids, PATHS[0], ["k"]).first()["text"] == "a�b"
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", *_texts(40)])], "doc_id long, text string")
+    both = byte_bpe.recode(docs, PATHS[0], PATTERN, ["doc_id"])
+    ids = byte_bpe.encode(docs, PATHS[0], PATTERN, ["doc_id"])
+    apart = byte_bpe.decode(ids, PATHS[0], ["doc_id", "ids"]).withColumnRenamed("text", "decoded")
+    assert both.columns == apart.columns and sorted(both.collect()) == sorted(apart.collect())
+    assert all(r["decoded"] == (t or "") for r, t in zip(sorted(both.collect()), [None, "", *_texts(40)]))
+    with pytest.raises(ValueError, match="decoded"):
+        byte_bpe.recode(docs, PATHS[0], PATTERN, ["decoded"])
+
+
+def test_query_starts_one_worker_for_a_task(spark, tmp_path):
+    from loglathe.llm.queries import coded
+
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = coded(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
