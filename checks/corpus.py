@@ -122,6 +122,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if found["most"] * tasks > 2 * found["rows"] else df
 
 
+def spread_tasks(df: DataFrame) -> int:
+    """Tasks among which the rows of ``df`` are dealt by a key."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

@@ -7,7 +7,7 @@ import time
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglathe.functions import answers as a, detect as d, formats, heal as h
 from loglathe.functions.text import date_in_raw, decode, event_hash, fixed2, is_hostname, is_ip, strip
@@ -28,6 +28,7 @@ from loglathe.streaming.run import flush_open, frame_chunk_stream, run_stream
 
 from . import corpus as c
 from .corpus import NOW
+from .files import write_files
 
 REGISTRY = {}
 
@@ -96,20 +97,12 @@ def profile_formats_(spark, sf):
 REGISTRY["profile_formats"] = REGISTRY.pop("profile_formats_")
 
 
-def _user_files(spark: SparkSession, sf: str, **options) -> str:
-    """One text file per user below a new folder, lines in order."""
+def _user_files(spark: SparkSession, sf: str, suffix: str = ".txt") -> str:
+    """One text file per user in a new folder, lines in order."""
     lines = c.event_lines(spark, sf).withColumn("event_id", F.col("line_id") % 1000000000000)
     users = c.table(spark, sf, "events").select("event_id", "user_id")
     path = work_path(spark, "files")
-    (
-        lines.join(users, "event_id")
-        .repartition("user_id")
-        .sortWithinPartitions("user_id", "line_id")
-        .select("user_id", F.col("raw").alias("value"))
-        .write.options(**options)
-        .partitionBy("user_id")
-        .text(path)
-    )
+    write_files(lines.join(users, "event_id").withColumn("value", F.col("raw")), path, "user_id", "line_id", suffix=suffix)
     return path
 
 
@@ -594,7 +587,7 @@ def s12_retry(spark, sf):
 
 @query
 def s3_read_objects(spark, sf):
-    path = _user_files(spark, sf, compression="gzip")
+    path = _user_files(spark, sf, ".txt.gz")
     return files.read_objects(spark, path, prefix="user_id=").select(_user(), "text")
 
 
@@ -685,10 +678,7 @@ def s5_split_envelopes(spark, sf):
     path, lines = work_path(spark, "envelopes"), c.event_lines(spark, sf)
     record = F.concat(F.lit('{ "n" : '), F.col("line_id").cast("string"), F.lit(', "tag":["é", null] }'))
     rows = lines.select((F.col("line_id") % 5).alias("part"), record.alias("value"))
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("value")))
-    last = numbered.withColumn("all", F.count("*").over(Window.partitionBy("part")))
-    value = F.concat(F.when(F.col("nth") == 1, '{"Records":[').otherwise(","), "value", F.when(F.col("nth") == F.col("all"), "]}").otherwise(""))
-    last.repartition("part").sortWithinPartitions("part", "nth").select("part", value.alias("value")).write.partitionBy("part").text(path)
+    write_files(rows, path, "part", begin='{"Records":[', between=",\n", end="]}\n", suffix=".json")
     part = F.regexp_extract("file_path", r"part=(\d+)", 1).cast("long").alias("part")
     return files.load_objects(spark, path).select(part, "raw")
 
@@ -699,9 +689,11 @@ def d16_xml_files(spark, sf):
     path = work_path(spark, "xml")
     events = c.table(spark, sf, "events")
     record = {"Event": F.struct(F.col("event_id").alias("EventID")).alias("System"), "entry": F.col("event_type").alias("kind")}
+    begin = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<ROWS>\n'
     for rest, tag in ((0, "Event"), (1, "entry")):
-        some = events.where(F.col("user_id") % 2 == rest).select("user_id", record[tag]).repartition("user_id")
-        some.write.partitionBy("user_id").format("xml").option("rowTag", tag).save(f"{path}/{tag}")
+        text = F.to_xml(F.struct(record[tag]), {"rowTag": tag})
+        some = events.where(F.col("user_id") % 2 == rest).select("user_id", text.alias("value"))
+        write_files(some, f"{path}/{tag}", "user_id", begin=begin, end="\n</ROWS>\n", suffix=".xml")
     create_file(spark, f"{path}/user_id=-1/log.EVTX", "ElfFile")
     return files.detect_files(spark, path).select(_user_of_any(), "format", "confidence")
 
