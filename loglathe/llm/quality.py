@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +124,8 @@ def _mean_ratio(all_words: Column, table: bytes) -> Column:
     return bound(codes, lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(mean(u)))
 
 
-def _counts(texts: DataFrame) -> dict[int, int]:
-    """One-word and two-word terms of ``text`` in each bucket; at most ``2 * BUCKETS`` rows come to the driver.
+def _counts(texts: DataFrame) -> list[int]:
+    """One-word and two-word terms of ``text`` in each bucket; at most ``2 * BUCKETS`` rows come to the driver, as columns.
 
     Every word is a row beside the one after it, so the counting is generated code and not a loop over arrays.
     """
@@ -136,9 +137,11 @@ def _counts(texts: DataFrame) -> dict[int, int]:
         .where("term IS NOT NULL")
         .groupBy("term")
         .agg(F.count("*").alias("n"))
-        .collect()
+        .toArrow()
     )
-    return {r["term"]: r["n"] for r in found}
+    counts = np.zeros(2 * BUCKETS, np.int64)
+    counts[found["term"].to_numpy()] = found["n"].to_numpy()
+    return counts.tolist()
 
 
 def ratios(texts: DataFrame, trusted: DataFrame) -> bytes:
@@ -149,10 +152,10 @@ def ratios(texts: DataFrame, trusted: DataFrame) -> bytes:
     target, raw = _counts(trusted), _counts(texts)
     out = bytearray()
     for first in (0, BUCKETS):
-        n_target = sum(target.get(first + i, 0) for i in range(BUCKETS)) + BUCKETS
-        n_raw = sum(raw.get(first + i, 0) for i in range(BUCKETS)) + BUCKETS
+        n_target = sum(target[first : first + BUCKETS]) + BUCKETS
+        n_raw = sum(raw[first : first + BUCKETS]) + BUCKETS
         for i in range(first, first + BUCKETS):
-            x = math.log((target.get(i, 0) + 1) / n_target) - math.log((raw.get(i, 0) + 1) / n_raw)
+            x = math.log((target[i] + 1) / n_target) - math.log((raw[i] + 1) / n_raw)
             out.append(min(max(math.floor(x * PER_UNIT + 0.5) + MIDDLE, 0), 2 * MIDDLE - 1))
     return bytes(out)
 

@@ -1,0 +1,24 @@
+"""What the driver holds of the counts of all terms."""
+
+import tracemalloc
+
+from pyspark.sql import functions as F
+
+from loglathe.llm import quality
+
+
+def test_term_counts_come_as_columns(spark):
+    numbered = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda x: F.concat(F.lit("w"), (F.col("id") * 1000 + x).cast("string")))
+    texts = spark.range(0, 200, 1, 4).select(F.array_join(numbered, " ").alias("text"))
+    tracemalloc.start()
+    try:
+        counts = quality._counts(texts)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(counts[: quality.BUCKETS]) == 200 * 1000 and sum(counts[quality.BUCKETS :]) == 200 * 999
+    assert held < 16 << 20
+
+
+def test_no_terms(spark):
+    assert set(quality._counts(spark.createDataFrame([(None,), ("",)], "text string"))) == {0}
