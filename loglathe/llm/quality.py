@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm.tables import Tables
@@ -104,23 +104,29 @@ def _two(code: Column, following: Column) -> Column:
     return _one(code * 31 + following) + BUCKETS
 
 
-def _mean_ratio(all_words: Column, table: bytes) -> Column:
+def _levels(spark: SparkSession, table: bytes) -> Column:
+    """The table as a value that plans name and don't spell out.
+
+    As a constant it would stand in each text of each plan, 2.4 MB at a time, of which the driver keeps many.
+    """
+    return spark.createDataFrame([(list(table),)], "levels array<tinyint>").scalar()
+
+
+def _mean_ratio(all_words: Column, levels: Column) -> Column:
     """Mean of the table's values over a text's one-word and two-word terms, 0 for a text without words."""
-    # one constant of the plan: the optimizer folds it
-    levels = F.split(F.lit(",".join(str(x) for x in table)), ",").cast("array<bigint>")
     none = F.lit(0).cast("long")
 
-    def mean(u: Column) -> Column:
+    def mean(u: Column, table: Column) -> Column:
+        level = lambda term: F.get(table, term).cast("long")
         own = F.zip_with(
-            u,
-            F.slice(u, F.lit(2), F.size(u)),
-            lambda x, y: F.get(levels, _one(x)) + F.coalesce(F.get(levels, _two(x, y)), none),
+            u, F.slice(u, F.lit(2), F.size(u)), lambda x, y: level(_one(x)) + F.coalesce(level(_two(x, y)), none)
         )
         n = 2 * F.size(u) - 1
         return (F.aggregate(own, none, lambda s, x: s + x) - MIDDLE * n) / F.lit(float(PER_UNIT)) / n
 
     codes = F.transform(all_words, lambda w: F.crc32(w))
-    return bound(codes, lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(mean(u)))
+    ratio = bound(levels, lambda table: bound(codes, lambda u: mean(u, table)))
+    return F.when(F.size(all_words) == 0, F.lit(0.0)).otherwise(ratio)
 
 
 def _counts(texts: DataFrame) -> dict[int, int]:
@@ -144,7 +150,7 @@ def _counts(texts: DataFrame) -> dict[int, int]:
 def ratios(texts: DataFrame, trusted: DataFrame) -> bytes:
     """Log ratio of each term under the multinomial of ``trusted`` texts and of all, both with one added to every bucket.
 
-    A byte a term, in steps of ``1 / PER_UNIT``: a constant of the plan that stays small.
+    A byte a term, in steps of ``1 / PER_UNIT``, so that it stays small.
     """
     target, raw = _counts(trusted), _counts(texts)
     out = bytearray()
@@ -173,10 +179,11 @@ OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 def _judged(docs: DataFrame, table: bytes) -> DataFrame:
     text = F.col("text").cast("string")
-    cut = docs.drop(*OWN).withColumn("_words", words(text))
-    own = base_columns(text, F.col("_words")) | {"ratio": _mean_ratio(F.col("_words"), table)}
+    # a subquery can't stand in a loop over words; as a column, it can
+    cut = docs.drop(*OWN).withColumns({"_words": words(text), "_levels": _levels(docs.sparkSession, table)})
+    own = base_columns(text, F.col("_words")) | {"ratio": _mean_ratio(F.col("_words"), F.col("_levels"))}
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return cut.withColumns(own).withColumn("base_failed", failed).drop("_words")
+    return cut.withColumns(own).withColumn("base_failed", failed).drop("_words", "_levels")
 
 
 def scored(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
