@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -350,6 +351,31 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert retrieval.top_k(vectors.limit(0), vectors).count() == 0 and retrieval.top_k(vectors, vectors.limit(0)).count() == 0
 
 
+def test_task_keeps_k_hits_of_a_query_over_all_its_buckets():
+    rng = np.random.default_rng(9)
+    ids = rng.permutation(40 * 25)
+    matrix = rng.integers(-90, 90, (len(ids), 6))
+    matrix[100:300] = matrix[100]  # ties, which go to the smaller id
+    matrix[:50] *= 1 << 12  # beyond what floats of 4 bytes hold
+    matrix[:9] *= 1 << 11  # and of 8 bytes
+    own, queries = ids[::50].copy(), matrix[::50].copy()
+    none = np.full(len(own), np.iinfo(np.int64).min)
+
+    def row(ids, matrix, least=None):
+        cells = (0, matrix.shape[1], len(ids), 1.0, ids.tobytes(), np.ascontiguousarray(matrix).tobytes(), least)
+        return pa.RecordBatch.from_pylist([dict(zip(("cell", "dim", "n", "longest", "ids", "matrix", "least"), cells))], kind)
+
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+    kind = pa.schema([*zip(("cell", "dim", "n", "longest", "ids", "matrix", "least"), types)])
+    given = [row(ids[i : i + 25], matrix[i : i + 25]) for i in range(0, len(ids), 25)] + [row(own, queries, none.tobytes())]
+    got = [tuple(r.values()) for batch in retrieval._searched(3)(iter(given)) for r in batch.to_pylist()]
+    want = set()
+    for q, v in zip(own.tolist(), queries.tolist()):
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in zip(ids.tolist(), matrix.tolist()) if i != q)
+        want |= {(q, i, -s) for s, i in scores[:3]}
+    assert set(got) == want and len(got) == 3 * len(own)
+
+
 def base_spans(text):
     shapes = [
         (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12, 2),
