@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import decode, strip
@@ -17,6 +19,23 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 _LINES = "conn_id LONG, after_seq LONG, after_idx INT, line BINARY"
 _ENDS = ("seq", "closes", "feeds", "head", "tail")
+_PACKED = "conn_id LONG, seq ARRAY<LONG>, closes ARRAY<BOOLEAN>, feeds ARRAY<INT>, head ARRAY<BINARY>, tail ARRAY<BINARY>"
+_Line = Row("conn_id", "after_seq", "after_idx", "line")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks that a connection has in an Arrow batch as one row of lists: handing a row to the state costs more than
+    what is done with it there."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column("conn_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        codes, rows = codes[order], batch.take(pa.array(order))
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        ends = pa.array(np.append(starts, len(codes)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, rows.column(name)) for name in _ENDS]
+        yield pa.RecordBatch.from_arrays([rows.column("conn_id").take(pa.array(starts)), *lists], ["conn_id", *_ENDS])
 
 
 class _Connection(StatefulProcessor):
@@ -24,7 +43,8 @@ class _Connection(StatefulProcessor):
     that came later (all, before any line feed).
 
     Each call of the state is a round trip, and most connections come once per micro-batch with a few chunks: a line that is
-    open over the end of one micro-batch costs one read and one write.  Later pieces are only added.
+    open over the end of one micro-batch costs one read and one write.  Later pieces are only added.  Rows come and go as
+    they are: a data frame for the few of each connection costs more than the state does.
     """
 
     def __init__(self, idle_ms: int | None) -> None:
@@ -42,9 +62,13 @@ class _Connection(StatefulProcessor):
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = [row for some in rows for row in zip(*(some[name].tolist() for name in _ENDS))]
-        came.sort(key=lambda row: (pd.isna(row[0]), row[0], row[1]))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came: list[tuple] = []
+        ends = None
+        for row in rows:
+            ends = ends or itemgetter(*map(row.__fields__.index, _ENDS))
+            came.extend(zip(*ends(row)))
+        came.sort(key=lambda row: (row[0] is None, row[0] or 0, row[1]))
         held = self.began.get()
         began = None if held is None else tuple(held[:2])
         listed: list[bytes] = []
@@ -80,8 +104,8 @@ class _Connection(StatefulProcessor):
             self._forget_timers()
             if is_open:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        if out:
-            yield _frame(out)
+        for line in out:
+            yield _Line(*line)
 
     def _add(self, held, new: bytes) -> None:
         if not new:
@@ -101,17 +125,13 @@ class _Connection(StatefulProcessor):
         if new:
             self.pieces.appendList([(new,)])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.began.get()
         listed = self._listed(held)
         after = (None, 0) if held is None else tuple(held[:2])
         self.began.clear()
         self.pieces.clear()
-        yield _frame([(key[0], *after, b"".join([*([] if held is None else [bytes(held[2])]), *listed]))])
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["conn_id", "after_seq", "after_idx", "line"], dtype=object)
+        yield _Line(key[0], *after, b"".join([*([] if held is None else [bytes(held[2])]), *listed]))
 
 
 def frame_connections(
@@ -147,8 +167,9 @@ def frame_connections(
     )
     idle_ms = None if idle_seconds is None else max(1, round(idle_seconds * 1000))
     outer = (
-        ends.groupBy("conn_id")
-        .transformWithStateInPandas(
+        ends.mapInArrow(_packed, _PACKED)
+        .groupBy("conn_id")
+        .transformWithState(
             _Connection(idle_ms), _LINES, "append", "none" if idle_ms is None else "processingTime"
         )
         .select("conn_id", "after_seq", "after_idx", strip(decode(F.col("line"), encoding, errors)).alias("raw"))

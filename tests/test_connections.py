@@ -2,8 +2,10 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 
+from loglathe.streaming import connections
 from loglathe.streaming.connections import STORE, STORE_SETTING, frame_connections
 
 from .test_sources import reference_lines
@@ -88,3 +90,15 @@ def test_other_state_store_is_refused(spark):
     stream = spark.readStream.format("rate").load().selectExpr("value conn_id", "value seq", "CAST('a' AS BINARY) payload")
     with pytest.raises(ValueError, match="providerClass"):
         frame_connections(stream)
+
+
+def test_chunks_of_a_connection_in_a_batch_go_to_the_state_as_one_row():
+    names = ["conn_id", *connections._ENDS]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+    schema = pa.schema([*zip(names, kinds)])
+    chunks = [(c, s, s == 7, s % 3, b"h%d" % s, None if s == 7 else b"t") for s in (3, 0, 7) for c in (5, None, 2)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in chunks], schema)
+    got = [row for b in connections._packed(iter([batch, batch.slice(0, 0)])) for row in b.to_pylist()]
+    assert sorted(r["conn_id"] or -1 for r in got) == [-1, 2, 5]
+    back = [(r["conn_id"], *ends) for r in got for ends in zip(*(r[name] for name in connections._ENDS))]
+    assert sorted(back, key=repr) == sorted(chunks, key=repr)
