@@ -293,7 +293,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
 
     Vectors are sorted by length and cut into buckets of ``BUCKET_ROWS``, queries into blocks of ``BLOCK_ROWS``.  Each
     query first gets the k-th best score in the bucket of the longest vectors (one for each dimension).  A task holds a
-    group of buckets of ``HELD_BYTES`` at most while blocks go by.  A block comes to a group only if lengths allow such a
+    group of buckets of about ``HELD_BYTES`` while blocks go by.  A block comes to a group only if lengths allow such a
     score; in each bucket, the longest first, each query is pruned by length or coordinate (see ``Bucket``) with the k-th
     best score it has by then, and the remaining products are computed exactly, for all queries of the block at once.  No
     bound is dropped, so the result is exact.
